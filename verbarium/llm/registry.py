@@ -7,9 +7,13 @@ import importlib
 #: Query names by module.
 _MODULES = {
     "op2_sharding": "sharding",
+    "op3_toxicity": "toxicity",
+    "op4_bpe": "bpe",
     "op5_mixing": "mixing",
     "op6_exact_dedup": "exact_dedup",
     "op7_warc": "warc",
+    "op8_language": "language",
+    "op9_quality": "quality",
     "op10_topk": "topk",
 }
 
