@@ -6,6 +6,7 @@ import importlib
 
 #: Query names by module.
 _MODULES = {
+    "op1_near_dedup": "near_dedup",
     "op2_sharding": "sharding",
     "op3_toxicity": "toxicity",
     "op4_bpe": "bpe",
@@ -19,7 +20,9 @@ _MODULES = {
 
 
 def queries() -> dict:
-    return {name: importlib.import_module(f"verbarium.llm.{m}").query for name, m in _MODULES.items()}
+    import corpus_pipeline
+
+    return {name: importlib.import_module(f"verbarium.llm.{m}").query for name, m in _MODULES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
