@@ -141,6 +141,7 @@ def tukey_quantile(p: float, k: int, df: float) -> float:
     return (low + high) / 2
 
 
+@lru_cache(maxsize=50_000)
 def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     """Two-sided Fisher p: tables at most as likely as the observed one, within 1e-7 relatively."""
     n, r, k = a + b + c + d, a + b, a + c

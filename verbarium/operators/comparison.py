@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from verbarium.corpus import SQL, doc_term, round6, table
 from verbarium.functions import distributions as D
@@ -56,12 +57,12 @@ def corpus_similarity(docs: DataFrame) -> DataFrame:
     return divergences(two_groups(docs))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _g_p(g: pd.Series) -> pd.Series:
     return g.map(lambda v: None if v is None or np.isnan(v) else math.erfc(math.sqrt(max(v, 0) / 2)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([D.fisher_exact(int(w), int(x), int(y), int(z)) for w, x, y, z in zip(a, b, c, d, strict=True)])
 
@@ -190,12 +191,12 @@ def adjusted(docs: DataFrame) -> DataFrame:
 _PAIRS = SQL + """, pr AS (SELECT term, CAST(count(*) FILTER (lang = 'en') AS BIGINT) AS x, CAST(count(*) FILTER (lang = 'de') AS BIGINT) AS y FROM tok WHERE lang IN ('en', 'de') GROUP BY term),
 s AS (SELECT sum(x) AS sx, sum(y) AS sy, count(*) AS v FROM pr), pq AS (SELECT *, x / sx AS p, y / sy AS q FROM pr, s)"""
 _KL = "CASE WHEN {0} > 0 THEN {0} * log2({0} / {1}) ELSE 0 END"
-_SIM = f"""{_PAIRS}, a AS (SELECT count(*) FILTER (x > 0) AS nx, count(*) FILTER (y > 0) AS ny, count(*) FILTER (x > 0 AND y > 0) AS both,
+_SIM = f"""{_PAIRS}, a AS (SELECT count(*) FILTER (x > 0) AS nx, count(*) FILTER (y > 0) AS ny, count(*) FILTER (x > 0 AND y > 0) AS common,
  sum(x * y) AS xy, sum(x * x) AS xx, sum(y * y) AS yy, sum((x - y) * (x - y)) AS dd, sum(abs(x - y)) AS md, sum(least(x, y)) AS lo, sum(greatest(x, y)) AS hi,
  max(sx) AS sx, max(sy) AS sy, bool_or(p > 0 AND q = 0) AS op, sum({_KL.format('p', 'nullif(q, 0)')}) AS klp,
  sum(((x + 0.5) / (sx + 0.5 * v)) * log2(((x + 0.5) / (sx + 0.5 * v)) / ((y + 0.5) / (sy + 0.5 * v)))) AS kls,
  0.5 * sum({_KL.format('p', '((p + q) / 2)')}) + 0.5 * sum({_KL.format('q', '((p + q) / 2)')}) AS js, sum((sqrt(p) - sqrt(q)) * (sqrt(p) - sqrt(q))) AS h FROM pq),
-r AS (SELECT both AS shared_types, round(both / (nx + ny - both), 6) AS jaccard, round(2 * both / (nx + ny), 6) AS dice, round(xy / sqrt(xx::DOUBLE * yy::DOUBLE), 6) AS cosine,
+r AS (SELECT common AS shared_types, round(common / (nx + ny - common), 6) AS jaccard, round(2 * common / (nx + ny), 6) AS dice, round(xy / sqrt(xx::DOUBLE * yy::DOUBLE), 6) AS cosine,
  round(sqrt(dd), 6) AS euclidean, CAST(md AS BIGINT) AS manhattan, round(lo / hi, 6) AS weighted_jaccard, round(2 * lo / (sx + sy), 6) AS multiset_dice,
  CASE WHEN op THEN NULL ELSE round(klp, 6) END AS kl, round(kls, 6) AS kl_smooth, round(js, 6) AS js_div, round(sqrt(js), 6) AS js_dist, round(sqrt(h) / sqrt(2), 6) AS hellinger FROM a)"""
 _NAMES = {"jaccard_set": "jaccard", "dice_set": "dice", "cosine": "cosine", "euclidean": "euclidean", "manhattan": "manhattan", "kl": "kl_smooth", "js_div": "js_div", "js_dist": "js_dist", "hellinger": "hellinger", "weighted_jaccard": "weighted_jaccard", "multiset_dice": "multiset_dice"}
@@ -215,7 +216,7 @@ QUERIES = {
     "keyness_stats": _q(keyness_stats), "keyness": _q(keyness), "p_adjust": _q(adjusted), "bonferroni": lambda s, sf: adjusted(table(s, sf, "documents")).select("term", "bonferroni"),
     "bh": lambda s, sf: adjusted(table(s, sf, "documents")).select("term", "bh"), "contingency": _flags(contingency), "association": _flags(association), "fisher": fisher, "mc_chisq": mc_chisq,
 }
-_BH = _KEY + """, s AS (SELECT term, 1 / (1 + g2) AS p FROM key WHERE x + y >= 20), m AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, term) AS rk FROM s),
+_BH = _KEY + """, ps AS (SELECT term, 1 / (1 + g2) AS p FROM key WHERE x + y >= 20), m AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, term) AS rk FROM ps),
 adj AS (SELECT term, round(least(1.0, m * p), 6) AS bonferroni, round(least(1.0, min(m * p / rk) OVER (ORDER BY p, term ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS bh FROM m)"""
 ORACLES = {
     "corpus_similarity": _SIM + " SELECT * FROM r", **{k: f"{_SIM} SELECT {v} FROM r" for k, v in _NAMES.items()},

@@ -10,6 +10,7 @@ MODULES = [
     "verbarium.operators.ranking",
     "verbarium.operators.cooccurrence",
     "verbarium.operators.comparison",
+    "verbarium.operators.statistics",
 ]
 
 
