@@ -11,6 +11,10 @@ MODULES = [
     "verbarium.operators.cooccurrence",
     "verbarium.operators.comparison",
     "verbarium.operators.statistics",
+    "verbarium.operators.networks",
+    "verbarium.operators.agreement",
+    "verbarium.query.evaluate",
+    "verbarium.operators.multivariate",
 ]
 
 
