@@ -47,7 +47,7 @@ def _phrase(tokens: Column, words: list[str], slop: int) -> Column:
     def follow(start: Column) -> Column:
         state = F.struct(start.alias("p"), F.lit(slop).alias("left"))
         for w in words[1:]:
-            state = _let(state, lambda x, w=w: _next(tokens, x, w))
+            state = _let(state, _follower(tokens, w))
         return state["p"]
 
     firsts = F.filter(F.transform(tokens, lambda t, i: F.when(t == words[0], i)), lambda i: i.isNotNull())
@@ -55,6 +55,10 @@ def _phrase(tokens: Column, words: list[str], slop: int) -> Column:
     return F.filter(spans, lambda a: a["e"].isNotNull())
 
 
+def _follower(tokens: Column, word: str):
+    return lambda state: _next(tokens, state, word)
+
+
 def _next(tokens: Column, state: Column, word: str) -> Column:
     p, left = state["p"], state["left"]
     ahead = F.array_position(F.slice(tokens, F.coalesce(p, F.lit(0)) + 2, left + 1), word).cast("int")
@@ -115,7 +119,9 @@ def satisfied(docs: DataFrame, query: str | tuple) -> DataFrame:
     good, anchors = compile_query(tree)
     rows = docs.select("doc_id", F.regexp_extract_all("text", F.lit(SURFACE), F.lit(0)).alias("__tok"))
     rows = rows.withColumn("__low", F.transform("__tok", F.lower))
-    return rows.select("doc_id", "__tok", good.alias("__good"), anchors.alias("anchors")).where("__good").drop("__good")
+    # a generator keeps the optimizer from copying the anchors' expression into a pushed-down filter
+    made = F.struct("doc_id", "__tok", good.alias("__good"), anchors.alias("anchors"))
+    return rows.select(F.inline(F.filter(F.array(made), lambda x: x["__good"]))).drop("__good")
 
 
 def run(docs: DataFrame, query: str | tuple) -> DataFrame:

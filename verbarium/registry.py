@@ -15,6 +15,8 @@ MODULES = [
     "verbarium.operators.agreement",
     "verbarium.query.evaluate",
     "verbarium.operators.multivariate",
+    "verbarium.sources.text",
+    "verbarium.plans.analysis",
 ]
 
 
