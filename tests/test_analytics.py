@@ -156,3 +156,34 @@ def test_sql_agrees(spark):
     queries, sqls = registry.queries(), registry.oracle_sql()
     for name in ("bm25", "doc_colloc", "keyness_stats", "q_near", "kruskal", "kripp_ordinal", "degree", "corpus_profile"):
         assert normal(queries[name](spark, SF).toPandas()).equals(normal(db.execute(sqls[name]).df())), name
+
+
+def test_exact_ranks():
+    assert statistics.rank_sum_exact(0, 3, 3) == pytest.approx(0.1) and statistics.rank_sum_exact(4, 3, 3) == pytest.approx(1.0, abs=0.2)
+    assert statistics.signed_rank_exact(0, 5) == pytest.approx(2 / 32)
+    assert statistics.spearman_exact([1, 2, 3, 4], [1, 2, 3, 4]) == pytest.approx(2 / 24)
+
+
+def test_project_recovers(spark, tmp_path):
+    from verbarium.plans.project import Project
+
+    p = Project(spark, str(tmp_path / "p"))
+    assert p.recover() is None
+    assert [p.commit({"a": spark.range(n)}) for n in (3, 4)] == [1, 2] and p.recover() == 2
+    for f in (tmp_path / "p/gen-2/a").glob("part-*"):
+        f.unlink()
+    assert p.recover() == 1 and p.read(1, "a").count() == 3
+
+
+def test_stream_of_terms(spark, tmp_path):
+    import datetime as dt
+
+    from verbarium.streaming import counts
+
+    rows = [(dt.datetime(2026, 1, 1, h, 5), h, "casa mare" if h else "casa casa") for h in range(4)]
+    schema = "ts timestamp, doc_id long, text string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    q = counts.run(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
+    q.awaitTermination(120)
+    got = {(r.start.hour, r.term): r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got[0, "casa"] == 2 and got[1, "mare"] == 1 and (3, "casa") not in got  # the last window is still open

@@ -326,3 +326,43 @@ ORACLES = {
       SELECT round(e, 6) AS estimate, round(e / sqrt(sw / (n - k) * v), 6) AS t, CAST(n - k AS DOUBLE) AS df FROM r, w""",
     "splitmix64": "SELECT * FROM (VALUES (0, 'E220A8397B1DCDAF'), (1, '6E789E6AA1B965F4'), (2, '06C45D188009454F')) t(i, value)",
 }
+
+
+def rank_sum_exact(u: float, n1: int, n2: int) -> float:
+    """Two-sided exact p of Mann-Whitney's U without ties, by counting rank sums."""
+    ways = np.zeros((n1 + 1, n1 * n2 + 1))
+    ways[0, 0] = 1
+    for j in range(1, n1 + n2 + 1):
+        for k in range(min(j, n1), 0, -1):
+            step = j - k  # the k-th chosen of j has j - k others below it
+            if step <= n2:
+                ways[k, step:] += ways[k - 1, : ways.shape[1] - step]
+    counts = ways[n1]
+    low = counts[: int(min(u, n1 * n2 - u)) + 1].sum() / counts.sum()
+    return float(min(1.0, 2 * low))
+
+
+def signed_rank_exact(w: float, n: int) -> float:
+    """Two-sided exact p of Wilcoxon's W+ without ties."""
+    ways = np.zeros(n * (n + 1) // 2 + 1)
+    ways[0] = 1
+    for r in range(1, n + 1):
+        ways[r:] = ways[r:] + ways[:-r]
+    low = ways[: int(min(w, n * (n + 1) / 2 - w)) + 1].sum() / 2.0**n
+    return float(min(1.0, 2 * low))
+
+
+def spearman_exact(x: list[float], y: list[float]) -> float:
+    """Two-sided exact p of Spearman's rho over all permutations, at most nine pairs."""
+    from itertools import permutations
+
+    if len(x) > 9:
+        raise ValueError("too many pairs for an exact test")
+    rank = lambda v: np.array([sum(b < a for b in v) + (sum(b == a for b in v) + 1) / 2 for a in v])
+    a, b = rank(x) - (len(x) + 1) / 2, rank(y) - (len(y) + 1) / 2
+    seen = float(abs(a @ b)) - 1e-9
+    hits = [float(abs(a @ b[list(p)])) >= seen for p in permutations(range(len(x)))]
+    return sum(hits) / len(hits)
+
+
+QUERIES["spearman_exact"] = lambda s, sf: _row(s, "p", spearman_exact(*zip(*[(float(r.x), float(r.y)) for r in table(s, sf, "nation").select(F.col("n_nationkey").alias("x"), F.col("n_regionkey").alias("y")).orderBy("x").limit(7).collect()])))

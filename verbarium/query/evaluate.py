@@ -167,3 +167,6 @@ ORACLES = {
     "q_kwic": _T + " SELECT t.doc_id, i AS s, i AS e, array_to_string(a[greatest(i - 4, 1):i], ' ') AS \"left\", w AS match, array_to_string(a[i + 2:i + 6], ' ') AS \"right\" FROM t JOIN arr USING (doc_id) WHERE lower(w) = 'with'",
     "q_project": _T + ", r AS (SELECT doc_id, i AS s, i AS e, count(*) OVER () > 1000 AS is_truncated FROM t WHERE lower(w) = 'the') SELECT * FROM r ORDER BY doc_id, s LIMIT 1000",
 }
+
+QUERIES["q_ast_json"] = _q(("and", ("term", "normalized", "the"), ("not", ("term", "normalized", "which"))))
+ORACLES["q_ast_json"] = _T + " SELECT doc_id, i AS s, i AS e FROM t WHERE lower(w) = 'the' AND doc_id NOT IN (SELECT doc_id FROM t WHERE lower(w) = 'which')"

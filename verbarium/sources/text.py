@@ -209,3 +209,20 @@ ORACLES = {
     "sink_csv": "SELECT doc_id, CASE WHEN regexp_matches(text, '^[=+\\-@\\t\\r]') THEN '''' || text ELSE text END AS text FROM documents",
     "collection_profile": "SELECT 'plainText' AS format, lang, count(*) AS sources, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM documents GROUP BY ALL",
 }
+
+
+def view_collocations(pairs: DataFrame) -> DataFrame:
+    """Marks of a collocation table: row, column, label, value; any renderer can draw them."""
+    return pairs.select(F.col("node").alias("row"), F.col("collocate").alias("column"), F.format_string("%s %s", "node", "collocate").alias("label"), F.col("logdice").alias("value"))
+
+
+def _views(spark, sf: str) -> DataFrame:
+    from verbarium.operators.cooccurrence import win_colloc
+
+    return view_collocations(win_colloc(_docs(spark, sf)))
+
+
+QUERIES["view_specs"] = _views
+QUERIES["sink_json"] = lambda s, sf: _docs(s, sf).select("doc_id", F.to_json(F.struct("doc_id", "lang", "n_chars", "source")).alias("json"))
+QUERIES["span_compose"] = lambda s, sf: s.createDataFrame(compose([(0, 5, 2, 7, "exact"), (5, 6, 7, 9, "derivational")], [(0, 10, 100, 110, "exact")]), "out_start int, out_end int, src_start int, src_end int, kind string")
+ORACLES["span_compose"] = "SELECT * FROM (VALUES (0, 5, 102, 107, 'exact'), (5, 6, 107, 109, 'derivational')) t(out_start, out_end, src_start, src_end, kind)"
