@@ -1,11 +1,12 @@
 """Byte-level BPE by a lazily determinised finite-state transducer, and streaming decoding.
 
 A token sequence is the BPE encoding of its bytes exactly if no merge would cross the border of any two neighbours,
-so encoding is a regular relation. Its nondeterministic transducer has configurations (last token, node in the trie
-of tokens, output not yet certain); a determinised state is the set of live configurations with their residual
-outputs. States and transitions are made when a text first needs them. A transition emits the longest common prefix
-of the residual outputs: a token leaves as soon as every live configuration agrees on it, which is after a lookahead
-bounded by the longest token. Work is linear in the bytes, however long a piece is. Pieces repeat, so their outputs
+so encoding is a regular relation, and each prefix of a piece has one encoding. The nondeterministic transducer has
+configurations (last token, node in the trie of tokens); a determinised state is the set of live configurations, and its
+transition on a byte names the one token that can end there. States and transitions are made when a text first needs
+them. Which of the ended tokens are on the way to the end is certain as soon as the ways back from all live
+configurations meet, a lookahead that the longest token bounds: long pieces emit their certain tokens every FLUSH
+bytes, short ones at their end. Work is linear in the bytes, however long a piece is. Pieces repeat, so their outputs
 are kept in a bounded table; each comes from the transducer.
 
 Decoding joins the tokens' bytes and feeds them through an incremental UTF-8 state machine that holds back an
@@ -144,8 +145,8 @@ class Transducer:
     def _reset(self) -> None:
         self.places: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        #: state << 8 | byte -> (next state, token that ends here, longest lookback of the next state)
-        self.steps: dict[int, tuple[int, int, int]] = {}
+        #: state << 8 | byte -> (next state, token that ends here)
+        self.steps: dict[int, tuple[int, int]] = {}
         self._place((-1, 0))
 
     def _place(self, state: tuple) -> int:
