@@ -80,7 +80,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     plan = staged(plan.withColumn("whole", F.floor(share).cast("long")).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "mix-plan")
     cuts = thresholds(rows, plan.where("budget > 0").select("source", "budget"))
     plan = plan.join(cuts.select(F.col("source").alias("__s"), "threshold"), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
-    plan = plan.select(F.col("source").alias("__source"), "source_size", "target", "whole", F.coalesce("threshold", F.lit(0)).alias("threshold"))
+    # staged: its size is known, so documents of a hot source meet it by broadcast (or by a join that AQE can split)
+    plan = staged(plan.select(F.col("source").alias("__source"), "source_size", "target", "whole", F.coalesce("threshold", F.lit(0)).alias("threshold")), "mix-cuts")
     out = rows.join(plan, F.col("source").eqNullSafe(F.col("__source")))
     out = out.withColumn("times", F.col("whole") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0))
     return out.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
