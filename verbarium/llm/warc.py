@@ -209,7 +209,7 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
 
 def read_warc(spark, path: str) -> DataFrame:
     """One row per record of the WARC files under path."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row is a whole file
+    small_batches(spark)  # a row is a whole file: a batch ends at 8 MB
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(_read, _READ)
 
