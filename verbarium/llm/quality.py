@@ -169,7 +169,8 @@ def training(docs: DataFrame, labels: DataFrame, label: str, rows: int = FIT_ROW
     n = known.count()
     share = min(1.0, rows / max(n, 1))
     some = known.where((F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))))
-    return docs.select("doc_id", "text").join(some, "doc_id").select("y", "text")
+    # about `rows` ids and labels, whatever the input: the texts need no shuffle
+    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("y", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Discriminant:
