@@ -187,3 +187,28 @@ def test_stream_of_terms(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r.start.hour, r.term): r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got[0, "casa"] == 2 and got[1, "mare"] == 1 and (3, "casa") not in got  # the last window is still open
+
+
+def test_resampling_of_whole_tables_agrees_with_the_small_kernels(spark):
+    values = [float((7 * i * i + 3 * i) % 23) for i in range(61)]
+    rows = spark.createDataFrame(list(enumerate(values)), "doc_id long, len double")
+    h = statistics.Histogram(rows, "len")
+    for got, want in ((statistics.bootstrap_whole(h), statistics.bootstrap(values)), (statistics.bootstrap_bca_whole(h), statistics.bootstrap_bca(values)), (statistics.block_bootstrap_whole(rows, "doc_id", "len", 10), statistics.bootstrap(values, block=10))):
+        assert got == pytest.approx(want, abs=0.25)
+    first = statistics.Histogram(rows.where("doc_id < 20"), "len")
+    assert statistics.permutation_whole(first, h) == pytest.approx(statistics.permutation(values[:20], values[20:], most_exact=1, draws=4000), abs=0.04)
+    none = statistics.Histogram(rows.limit(0), "len")
+    assert all(map(np.isnan, (*statistics.bootstrap_whole(none), statistics.permutation_whole(none, h))))
+
+
+def test_bh_runs_from_the_largest(spark):
+    from verbarium.operators.comparison import bh
+
+    p = [0.01, 0.04, 0.03, 0.005, 0.04, 0.9]
+    got = {r.t: r.q for r in spark.createDataFrame([(str(i), v) for i, v in enumerate(p)], "t string, p double").select("t", bh(F.col("p"), F.lit(6), ["t"]).alias("q")).collect()}
+    order = sorted(range(6), key=lambda i: p[i])
+    want, low = {}, 1.0
+    for rank in range(6, 0, -1):
+        low = min(low, 6 * p[order[rank - 1]] / rank)
+        want[str(order[rank - 1])] = low
+    assert got == pytest.approx(want)

@@ -64,13 +64,18 @@ def _g_p(g: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def _fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    return pd.Series([D.fisher_exact(int(w), int(x), int(y), int(z)) for w, x, y, z in zip(a, b, c, d, strict=True)])
+    cells = list(zip(a, b, c, d, strict=True))  # rare terms have few different tables: each is worked out once a batch
+    known = {t: D.fisher_exact(*map(int, t)) for t in set(cells)}
+    return pd.Series([known[t] for t in cells], dtype=float)
 
 
 def bh(p: Column, family: Column, order: list) -> Column:
-    """Benjamini-Hochberg adjusted p over all rows: the running minimum of family size * p / rank from the largest p."""
+    """Benjamini-Hochberg adjusted p over all rows: the running minimum of family size * p / rank from the largest p.
+
+    The minimum runs over the reversed order: a frame that grows costs one step a row, one that shrinks all its rows.
+    """
     rank = F.row_number().over(Window.orderBy(p, *order))
-    return F.least(F.lit(1.0), F.min(family * p / rank).over(Window.orderBy(p, *order).rowsBetween(0, Window.unboundedFollowing)))
+    return F.least(F.lit(1.0), F.min(family * p / rank).over(Window.orderBy(p.desc(), *(F.col(c).desc() for c in order)).rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def keyness_stats(docs: DataFrame) -> DataFrame:

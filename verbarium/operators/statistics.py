@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbarium.corpus import lengths, round6, table
+from verbarium.corpus import lengths, offsets, round6, table
 from verbarium.functions import distributions as D
 
 SEED = 20260918
@@ -238,6 +238,86 @@ def permutation(x: list[float], y: list[float], most_exact: int = 200_000, draws
     return (1 + extreme) / (1 + draws)
 
 
+class Histogram:
+    """A sample as its different values and their counts: what resampling means over whole tables needs of it."""
+
+    def __init__(self, values: DataFrame, column: str = "v"):
+        rows = values.groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy("v").collect()
+        self.v, self.n = np.array([r.v for r in rows], float), np.array([r.n for r in rows], np.int64)
+        self.size = int(self.n.sum())
+
+    def sums(self, draws: int, resamples: int, rng) -> np.ndarray:
+        """Sums of draws values drawn with replacement, for each resample: the counts drawn are multinomial."""
+        return np.array([rng.multinomial(draws, self.n / self.size) @ self.v for _ in range(resamples)]) if draws and self.size else np.zeros(resamples)
+
+
+def _interval(reps: np.ndarray, low: float, high: float) -> tuple[float, float]:
+    ordered = np.sort(reps)
+    return quantile7(ordered, low), quantile7(ordered, high)
+
+
+def bootstrap_whole(h: Histogram, level: float = 0.95, resamples: int = 2000, seed: int = SEED) -> tuple[float, float]:
+    """bootstrap() of any number of rows: the same distribution of resamples, drawn from counts. Empty: nan."""
+    if not h.size:
+        return math.nan, math.nan
+    return _interval(h.sums(h.size, resamples, np.random.default_rng(seed)) / h.size, (1 - level) / 2, (1 + level) / 2)
+
+
+def bootstrap_bca_whole(h: Histogram, level: float = 0.95, resamples: int = 2000, seed: int = SEED) -> tuple[float, float]:
+    """bootstrap_bca() of any number of rows: the jackknife's moments come from the counts too."""
+    if h.size < 2:
+        return math.nan, math.nan
+    mean = float(h.n @ h.v) / h.size
+    reps = h.sums(h.size, resamples, np.random.default_rng(seed)) / h.size
+    below = min(max(int((reps < mean).sum()), 0.5), resamples - 0.5) / resamples
+    d = (h.v - mean) / (h.size - 1)
+    a, z0 = float(h.n @ d**3) / (6 * float(h.n @ d**2) ** 1.5 or 1), D.normal_quantile(below)
+    at = [D.normal_cdf(z0 + (z0 + D.normal_quantile(q)) / (1 - a * (z0 + D.normal_quantile(q)))) for q in ((1 - level) / 2, (1 + level) / 2)]
+    return _interval(reps, *at)
+
+
+def block_bootstrap_whole(rows: DataFrame, key: str, value: str, block: int = 10, level: float = 0.95, resamples: int = 2000, seed: int = SEED) -> tuple[float, float]:
+    """bootstrap(block=...) of any number of rows in the order of key: what is drawn is a block's sum.
+
+    Places are gapless numbers without a single-task window; each row adds to the block sums of the block starts that
+    reach it. The last block of a resample is cut short, so it draws from the sums of shorter blocks.
+    """
+    placed = offsets(rows.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"), F.lit(1).alias("one")), "k", "one")
+    n = placed.count()
+    if n < block:
+        return math.nan, math.nan
+    rest = n % block
+    starts = placed.select("v", F.expr(f"explode(sequence(0, {block - 1}))").alias("at"), "off").withColumn("start", F.col("off") - F.col("at"))
+    starts = starts.where((F.col("start") >= 0) & (F.col("start") <= n - block))
+    sums = starts.groupBy("start").agg(F.sum("v").alias("v"), F.sum(F.when(F.col("at") < rest, F.col("v")).otherwise(0.0)).alias("part"))
+    rng = np.random.default_rng(seed)
+    total = Histogram(sums).sums(n // block, resamples, rng) + (Histogram(sums, "part").sums(1, resamples, rng) if rest else 0.0)
+    return _interval(total / n, (1 - level) / 2, (1 + level) / 2)
+
+
+def permutation_whole(x: Histogram, both: Histogram, draws: int = 9999, seed: int = SEED) -> float:
+    """Monte Carlo permutation() of any number of rows: x's share of the pooled counts is multivariate hypergeometric."""
+    n, rest, s = x.size, both.size - x.size, float(both.n @ both.v)
+    if not n or not rest:
+        return math.nan
+    stat = lambda t: np.abs(t / n - (s - t) / rest)
+    seen, rng, left, size = stat(float(x.n @ x.v)) * (1 - 1e-12), np.random.default_rng(seed), np.full(draws, n), both.size
+    sums = np.zeros(draws)
+    for v, k in zip(both.v, both.n.tolist(), strict=True):  # one value after the other, all draws at once
+        got = left if k == size else _hypergeometric(rng, k, size - k, left)
+        sums, left, size = sums + got * v, left - got, size - k
+    return float((1 + (stat(sums) >= seen).sum()) / (1 + draws))
+
+
+def _hypergeometric(rng, good: int, bad: int, drawn: np.ndarray) -> np.ndarray:
+    """Hypergeometric draws; numpy's take populations under 1e9, beyond them the normal limit is used."""
+    if good + bad < 10**9:
+        return rng.hypergeometric(good, bad, drawn)
+    size, p = good + bad, good / (good + bad)
+    spread = np.sqrt(np.maximum(drawn * p * (1 - p) * (size - drawn) / max(size - 1, 1), 0.0))
+    return np.clip(np.rint(rng.normal(drawn * p, spread)), np.maximum(0, drawn - bad), np.minimum(good, drawn)).astype(np.int64)
+
+
 def _sample(spark, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_quantity").cast("double").alias("v"))
 
@@ -250,11 +330,6 @@ def _pairs(spark, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(F.col("l_quantity").cast("double").alias("x"), (F.col("l_discount") * 500).cast("double").alias("y"))
 
 
-def _small(spark, sf: str) -> list[float]:
-    """Lengths of the 200 documents with the smallest ids: the sample that the resampling kernels are given."""
-    return [float(r.len) for r in lengths(table(spark, sf, "documents")).orderBy("doc_id").limit(200).collect()]
-
-
 def doc_metric(spark, sf: str, term: str = "the") -> DataFrame:
     """Per document its length and the relative frequency of a term."""
     from verbarium.corpus import terms
@@ -274,8 +349,14 @@ def _pick(f, sample, *names):
     return lambda spark, sf: f(sample(spark, sf)).select(*(round6(n).alias(n) if n not in ("a", "b") else F.col(n) for n in names))
 
 
-def _kernel(f, names: str):
-    return lambda spark, sf: _row(spark, names, *(f(_small(spark, sf))))
+def _lengths(spark, sf: str, *langs: str) -> DataFrame:
+    """Lengths of all documents, or of those in some languages."""
+    docs = table(spark, sf, "documents")
+    return lengths(docs.where(F.col("lang").isin(*langs)) if langs else docs)
+
+
+def _low_high(f):
+    return lambda spark, sf: _row(spark, "low high", *f(_lengths(spark, sf)))
 
 
 _DIST = [("t", "dist_t", lambda: [D.t_tail(1.0, 1), D.t_quantile(0.975, 10)]), ("f", "dist_f", lambda: [D.f_tail(3.0, 2, 20)]), ("c", "dist_chi2", lambda: [D.chi2_tail(3.841458820694124, 1)]), ("n", "dist_norm", lambda: [D.normal_cdf(1.96), D.normal_quantile(0.975)]), ("q", "dist_tukey", lambda: [D.tukey_cdf(3.5, 3, 20), D.tukey_quantile(0.95, 3, 20)])]
@@ -287,8 +368,8 @@ QUERIES = {
     "pearson": _pick(correlation, _pairs, "r", "t"), "fisher_z_ci": _pick(correlation, _pairs, "low", "high"), "spearman": _pick(lambda p: correlation(p, ranks=True), _pairs, "r", "t"),
     "tukey": _pick(tukey, _sample, "a", "b", "diff", "q"), "games_howell": _pick(tukey, _sample, "a", "b", "gh_q", "gh_df"), "dunn": _pick(dunn, _sample, "a", "b", "z"), "posthoc_bundle": lambda s, sf: tukey(_sample(s, sf)),
     "contrasts": _pick(lambda s: contrasts(s, [[1, -1, 0], [1, 1, -2]]), _sample, "estimate", "t", "df"), "doc_metric": doc_metric, "group_comparison": group_comparison,
-    "bootstrap": _kernel(bootstrap, "low high"), "bootstrap_bca": _kernel(bootstrap_bca, "low high"), "block_bootstrap": _kernel(lambda x: bootstrap(x, block=10), "low high"),
-    "permutation": _kernel(lambda x: [permutation(x[:100], x[100:], draws=999)], "p"), "splitmix64": lambda s, sf: s.createDataFrame([(i, f"{v:016X}") for r in [SplitMix64(0)] for i in range(3) for v in [r.next()]], "i int, value string"),
+    "bootstrap": _low_high(lambda x: bootstrap_whole(Histogram(x, "len"))), "bootstrap_bca": _low_high(lambda x: bootstrap_bca_whole(Histogram(x, "len"))), "block_bootstrap": _low_high(lambda x: block_bootstrap_whole(x, "doc_id", "len")),
+    "permutation": lambda s, sf: _row(s, "p", permutation_whole(Histogram(_lengths(s, sf, "en"), "len"), Histogram(_lengths(s, sf, "en", "de"), "len"))), "splitmix64": lambda s, sf: s.createDataFrame([(i, f"{v:016X}") for r in [SplitMix64(0)] for i in range(3) for v in [r.next()]], "i int, value string"),
     "metric_correlation": lambda s, sf: correlation(doc_metric(s, sf).select(F.col("len").cast("double").alias("x"), F.col("rel").alias("y"))).select(round6("r").alias("r")),
     "paired_metrics": lambda s, sf: wilcoxon(doc_metric(s, sf).select((F.col("len") / 100).alias("x"), (F.col("rel") * 100).alias("y"))),
     **{name: (lambda f, n: lambda s, sf: s.createDataFrame([(i, float(v)) for i, v in enumerate(f())], "i int, value double"))(f, n) for n, name, f in _DIST},
