@@ -7,8 +7,8 @@ threshold is high enough for that to be sharper, by coordinates: a unit vector a
 its value in the query's largest coordinates inside known intervals. What is left is verified by exact integer
 products (below 2 ** 53, so double products are exact).
 
-Plan: a histogram of squared lengths gives the buckets, each at most BLOCK rows (a length that many vectors share is
-split by a hash of the identifier); a bucket and a block of QUERIES queries are packed into one binary row each.
+Plan: a histogram of lengths in BINS steps a doubling gives the buckets of about BLOCK rows (a bin of more rows is dealt
+out by a hash of the identifier); a bucket and a block of QUERIES queries are packed into one binary row each.
 Phase 1 meets all query blocks with the bucket of the longest vectors and yields theta per query; phase 2 meets
 them with the other buckets under theta and keeps k results a query and bucket at most, of which a window takes the
 best k. Scores equal to theta are kept, so ties go to the smaller vec_id. No result is approximate.
@@ -33,6 +33,8 @@ K = 20
 SCALE = 64
 #: Candidates in a bucket, queries in a block.
 BLOCK, QUERIES = 4096, 1024
+#: Histogram bins per doubling of the squared length: neighbours in a bin differ by 0.3 % in squared length.
+BINS = 256
 #: From this local cosine threshold on, coordinates prune.
 SHARP = 0.6
 #: Coordinates looked at.
@@ -125,15 +127,17 @@ _FOUND = "dim int, q_block int, theta binary, query_id array<long>, vec_id array
 def buckets(rows: DataFrame, size: int = BLOCK) -> DataFrame:
     """rows with block: 0 holds the longest vectors of its dimension; about size rows in each.
 
-    Squared lengths are counted by dimension; running counts cut them into blocks, and a length with more rows than
-    a block is dealt out over several by a hash of the identifier.
+    Squared lengths are counted by dimension and bin, so the window over a dimension has at most 2048 * BINS rows
+    whatever the input; running counts cut the bins into blocks, and a bin with more rows than a block is dealt out over
+    several by a hash of the identifier. Bounds on a block use its own longest vector, so bins need not be exact.
     """
-    counts = rows.groupBy("dim", "n2").agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy("dim").orderBy(F.col("n2").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("bin", F.floor(F.log2(F.col("n2") + 1) * BINS).cast("int"))
+    counts = rows.groupBy("dim", "bin").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("dim").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
     cut = counts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
     ends = F.floor((F.col("before") + F.col("n") - 1) / size).cast("int")
-    cut = staged(cut.select(F.col("dim").alias("__d"), F.col("n2").alias("__n2"), F.floor(F.col("before") / size).cast("int").alias("first"), ends.alias("last")), "norms")
-    joined = rows.join(cut, (F.col("dim") == F.col("__d")) & (F.col("n2") == F.col("__n2")))
+    cut = staged(cut.select(F.col("dim").alias("__d"), F.col("bin").alias("__bin"), F.floor(F.col("before") / size).cast("int").alias("first"), ends.alias("last")), "norms")
+    joined = rows.join(cut, (F.col("dim") == F.col("__d")) & (F.col("bin") == F.col("__bin")))
     block = F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("last") - F.col("first") + 1).cast("int")
     return joined.select("vec_id", "dim", "v", "n2", block.alias("block"))
 
