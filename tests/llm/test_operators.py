@@ -179,6 +179,16 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_warc_files_hold_few_large_records(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_CLASSES", ((10, 100), (1000, 2), (1 << 40, 1)))
+    texts = ["a", "b" * 9, "c" * 10, "d" * 999, "e" * 11, "f" * 1000, "g" * 50_000, None, "g" * 50_000]
+    pages = spark.createDataFrame(list(enumerate(texts)), "page_id long, html string").withColumn("url", F.lit("http://a")).coalesce(1)
+    warc.write_warc(pages, str(tmp_path / "w"))
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
+    assert got == {i: (len(t or ""), "revisit" if i == 8 else "response", 6 if i == 8 else None) for i, t in enumerate(texts)}
+    assert sorted(p.read_bytes().count(b"WARC-Type") for p in (tmp_path / "w").glob("part-*")) == [1, 1, 1, 1, 2, 3]
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_by_declared_length(version):
     tricky = b"HTTP/1.1 200 OK\r\n\r\nhttp://x 0.0.0.0 20000101000000 text/html 5\nhello\n"

@@ -37,7 +37,8 @@ ARC_FIELDS = {
 CRLF = b"\r\n"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records in a WARC file, which bounds what a reader holds at a time.
-RECORDS_PER_FILE = 1000
+#: (payload bytes below, records in a file at most): a file holds about 64 MB, or one record beyond that.
+FILE_CLASSES = ((64 << 10, 1000), (1 << 20, 64), (16 << 20, 4), (1 << 40, 1))
 #: Revisits up to this number are broadcast (24 bytes each); beyond it pages are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -201,10 +202,20 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """WARC files of pages under path, which any file system of Spark's may hold."""
+    """WARC files of pages under path, which any file system of Spark's may hold; one write for each class of sizes.
+
+    Spark limits a file's records, not its bytes, so larger payloads go to files of fewer records.
+    """
     small_batches(pages.sparkSession)
-    records = with_revisits(pages, least_bytes).mapInArrow(_convert, "record binary")
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    known = with_revisits(pages, least_bytes)
+    size, low = F.coalesce(F.octet_length("html"), F.lit(0)), 0
+    there = pages.agg(F.max(size)).first()[0]
+    for high, records in FILE_CLASSES:
+        if low and (there is None or there < low):
+            break  # no payload is that large
+        some = known.where((size >= low) & (size < high)).mapInArrow(_convert, "record binary")
+        some.select(F.col("record").cast("string").alias("value")).write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records).text(path)
+        low = high
 
 
 def read_warc(spark, path: str) -> DataFrame:
