@@ -212,3 +212,24 @@ def test_bh_runs_from_the_largest(spark):
         low = min(low, 6 * p[order[rank - 1]] / rank)
         want[str(order[rank - 1])] = low
     assert got == pytest.approx(want)
+
+
+def test_agreement_counts_ambiguous_units_of_the_whole_log(spark):
+    rows = [(1, "code", "u", "a", "x", None), (2, "code", "u", "b", "y", None), (3, "code", "v", "a", "x", None), (500, "code", "v", "a", "y", None), (501, "code", "w", "a", "x", None), (502, "code", "w", "a", "z", None), (503, "retract", None, None, None, 501)]
+    log = spark.createDataFrame(rows, "seq long, kind string, unit string, coder string, label string, target long")
+    got = sorted(tuple(r) for r in agreement.agreement_counted(log).collect())
+    assert got == [("u", "a", "x", 1), ("u", "b", "y", 1), ("w", "a", "z", 1)]
+    assert [tuple(r) for r in agreement.agreement_counted(log.where("unit = 'v'")).collect()] == [(None, None, None, 1)]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_whole_coding_table_reads_all_events(spark):
+    import duckdb
+
+    from verify import normal
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    got = agreement.QUERIES["qual_table_whole"](spark, SF).toPandas()
+    assert normal(got).equals(normal(db.execute(agreement.ORACLES["qual_table_whole"]).df()))
+    assert len(got) == 342 and set(got.ambiguous_units) == {121}

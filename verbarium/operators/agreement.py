@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbarium.corpus import round6, table
@@ -75,14 +75,28 @@ def fold(events: DataFrame) -> DataFrame:
     return active.groupBy("unit", "coder").agg(F.max_by("label", "seq").alias("label"), F.count(F.lit(1)).alias("codings"))
 
 
-def agreement_table(events: DataFrame) -> DataFrame:
-    """Unit by coder with one active coding; how many ambiguous units were dropped."""
+def _codings(events: DataFrame) -> DataFrame:
+    """(unit, coder, n, label): how many active codings a coder has of a unit."""
     gone = events.where("kind = 'retract'").select(F.col("target").alias("seq"))
-    per = events.where("kind = 'code'").join(gone, "seq", "left_anti").groupBy("unit", "coder").agg(F.count(F.lit(1)).alias("n"), F.max("label").alias("label"))
+    return events.where("kind = 'code'").join(gone, "seq", "left_anti").groupBy("unit", "coder").agg(F.count(F.lit(1)).alias("n"), F.max("label").alias("label"))
+
+
+def agreement_table(events: DataFrame) -> DataFrame:
+    """Unit by coder with one active coding; agreement_counted also says how many ambiguous units were dropped."""
+    per = _codings(events)
     bad = per.where("n > 1").select("unit").distinct()
     return per.join(bad, "unit", "left_anti").select("unit", "coder", "label")
 
 
+def agreement_counted(events: DataFrame) -> DataFrame:
+    """agreement_table with the number of ambiguous units in each row; where no unit is left, one row has only that."""
+    units = _codings(events).groupBy("unit").agg(F.max("n").alias("n"))
+    count = units.agg(F.count_if(F.col("n") > 1).alias("ambiguous_units"), F.count_if(F.col("n") == 1).alias("kept"))
+    table = agreement_table(events)
+    none = count.where("kept = 0").select(*(F.lit(None).cast(table.schema[c].dataType).alias(c) for c in table.columns), "ambiguous_units")
+    return table.crossJoin(F.broadcast(count.drop("kept"))).unionByName(none)
+
+
 def _labels(spark, sf: str) -> DataFrame:
     return table(spark, sf, "labels").select(F.col("doc_id").alias("unit"), F.inline(F.array(F.struct(F.lit("a").alias("coder"), F.col("quality").alias("label")), F.struct(F.lit("b").alias("coder"), (1 - F.col("toxic")).alias("label")))))
 
@@ -93,10 +107,15 @@ def _graded(spark, sf: str) -> DataFrame:
     return o.select((F.col("l_orderkey") % 500).alias("unit"), (F.col("l_linenumber") % 3).alias("coder"), F.when(F.col("l_quantity") < 45, F.ceil(F.col("l_quantity").cast("double") / 10).cast("int")).alias("label"))
 
 
-def event_log(spark, sf: str) -> DataFrame:
+def event_log(spark, sf: str, unit: Column | None = None) -> DataFrame:
     """A coding log out of the events table: every seventh event retracts the coding three before it."""
     e = table(spark, sf, "events")
-    return e.select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 7 == 0, "retract").otherwise("code").alias("kind"), (F.col("user_id") % 50).alias("unit"), (F.col("event_id") % 3).alias("coder"), F.col("event_type").alias("label"), (F.col("event_id") - 3).alias("target"))
+    return e.select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 7 == 0, "retract").otherwise("code").alias("kind"), (F.col("user_id") % 50 if unit is None else unit).alias("unit"), (F.col("event_id") % 3).alias("coder"), F.col("event_type").alias("label"), (F.col("event_id") - 3).alias("target"))
+
+
+def daily_log(spark, sf: str) -> DataFrame:
+    """event_log over all events, a unit being what one user did on one day: most units have one active coding a coder."""
+    return event_log(spark, sf, F.concat_ws("@", F.col("user_id"), F.to_date("ts")))
 
 
 def _level(level: str):
@@ -107,6 +126,7 @@ QUERIES = {
     "cohen_kappa": lambda s, sf: cohen(_labels(s, sf)), "fleiss_kappa": lambda s, sf: fleiss(_labels(s, sf)), "kripp_nominal": _level("nominal"), "kripp_interval": _level("interval"), "kripp_ratio": _level("ratio"), "kripp_ordinal": _level("ordinal"),
     "kripp_ci": lambda s, sf: s.createDataFrame([krippendorff_interval(_labels(s, sf))], "low double, high double"), "coding_agreement": lambda s, sf: cohen(_labels(s, sf)).crossJoin(fleiss(_labels(s, sf)).withColumnRenamed("kappa", "fleiss")).crossJoin(krippendorff(_labels(s, sf))),
     "qual_fold": lambda s, sf: fold(event_log(s, sf)), "qual_table": lambda s, sf: agreement_table(event_log(s, sf).where("seq < 400")),
+    "qual_table_whole": lambda s, sf: agreement_counted(daily_log(s, sf)),
 }
 _R = "WITH r AS (SELECT doc_id AS unit, 'a' AS coder, quality AS label FROM labels UNION ALL SELECT doc_id, 'b', 1 - toxic FROM labels)"
 _G = """WITH r AS (SELECT l_orderkey % 500 AS unit, CAST(ceil(CAST(l_quantity AS DOUBLE) / 10) AS DOUBLE) AS v, row_number() OVER () AS rid FROM lineitem WHERE l_quantity < 45),
@@ -126,4 +146,7 @@ ORACLES = {
     "kripp_ordinal": _G.format(d="CASE WHEN x.v = y.v THEN 0 ELSE (abs(x.s - y.s) + CASE WHEN x.s > y.s THEN y.k - x.k ELSE x.k - y.k END / 2) ** 2 END"),
     "qual_fold": _LOG + " SELECT unit, coder, max_by(label, seq) AS label, count(*) AS codings FROM a GROUP BY unit, coder",
     "qual_table": _LOG.replace("FROM events)", "FROM events WHERE event_id < 400)") + ", p AS (SELECT unit, coder, count(*) AS n, max(label) AS label FROM a GROUP BY unit, coder) SELECT unit, coder, label FROM p WHERE unit NOT IN (SELECT unit FROM p WHERE n > 1)",
+    "qual_table_whole": _LOG.replace("user_id % 50", "concat_ws('@', user_id, CAST(ts AS DATE))") + """, p AS (SELECT unit, coder, count(*) AS n, max(label) AS label FROM a GROUP BY unit, coder), u AS (SELECT unit, max(n) AS n FROM p GROUP BY unit),
+      k AS (SELECT count(*) FILTER (n > 1) AS ambiguous_units, count(*) FILTER (n = 1) AS kept FROM u)
+      SELECT p.unit, coder, label, ambiguous_units FROM p JOIN u ON u.unit = p.unit AND u.n = 1, k UNION ALL SELECT NULL, NULL, NULL, ambiguous_units FROM k WHERE kept = 0""",
 }
