@@ -233,3 +233,16 @@ def test_whole_coding_table_reads_all_events(spark):
     got = agreement.QUERIES["qual_table_whole"](spark, SF).toPandas()
     assert normal(got).equals(normal(db.execute(agreement.ORACLES["qual_table_whole"]).df()))
     assert len(got) == 342 and set(got.ambiguous_units) == {121}
+
+
+@pytest.mark.parametrize("tokens", [3, 7, 14])
+def test_summary_budget_tries_every_sentence(spark, tokens):
+    texts = ["zeta eta theta iota kappa"] * 6 + ["alfa beta. alfa. beta gamma delta. alfa", "casa mare. casa alfa gamma. mare", "", "alfa alfa beta. alfa"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    size = {(r.doc_id, r.sent): len(r.sentence.replace(".", "").split()) for r in ranking.sentences(docs).collect()}
+    left, want = tokens, []
+    for r in ranking.summary(docs, 1000).collect():
+        if size[r.doc_id, r.sent] <= left:
+            left -= size[r.doc_id, r.sent]
+            want.append((r.doc_id, r.sent, size[r.doc_id, r.sent], r.score))
+    assert want and [tuple(r) for r in ranking.summary_budget(docs, tokens, 2).select("doc_id", "sent", "tokens", "score").collect()] == want

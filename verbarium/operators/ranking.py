@@ -76,12 +76,15 @@ def sentences(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(parts).alias("sent", "sentence")).where(F.length(F.trim("sentence")) > 0)
 
 
+def scored(docs: DataFrame) -> DataFrame:
+    """(doc_id, sent, tokens, score) of all sentences with tokens: the mean document TF-IDF weight, repeats counted."""
+    each = sentences(docs).withColumn("terms", terms(F.col("sentence"))).select("doc_id", "sent", F.size("terms").alias("tokens"), F.explode("terms").alias("term"))
+    return each.join(weighting(docs), ["doc_id", "term"]).groupBy("doc_id", "sent").agg(F.max("tokens").alias("tokens"), round6(F.avg("weight")).alias("score"))
+
+
 def summary(docs: DataFrame, most: int = 20) -> DataFrame:
     """The sentences with the highest mean document TF-IDF weight of their tokens, repeats counted."""
-    w = weighting(docs)
-    each = sentences(docs).select("doc_id", "sent", F.explode(terms(F.col("sentence"))).alias("term"))
-    scores = each.join(w, ["doc_id", "term"]).groupBy("doc_id", "sent").agg(round6(F.avg("weight")).alias("score"))
-    return scores.orderBy(F.desc("score"), "doc_id", "sent").limit(most)
+    return scored(docs).select("doc_id", "sent", "score").orderBy(F.desc("score"), "doc_id", "sent").limit(most)
 
 
 def summary_resolved(docs: DataFrame, most: int = 20) -> DataFrame:
@@ -90,17 +93,21 @@ def summary_resolved(docs: DataFrame, most: int = 20) -> DataFrame:
 
 
 def summary_budget(docs: DataFrame, tokens: int = 200, most: int = 1000) -> DataFrame:
-    """Greedy under a token budget over the best sentences: one that does not fit is skipped and the next is tried."""
-    top = summary(docs, most)
-    sized = sentences(docs).join(F.broadcast(top), ["doc_id", "sent"]).withColumn("tokens", F.size(terms(F.col("sentence"))))
-    line = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("k"), "doc_id", "sent", "tokens")))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<k:double,doc_id:bigint,sent:int,tokens:int>>").alias("got"))
+    """Greedy under a token budget over all sentences by rank: one that does not fit is skipped and the next is tried.
 
-    def step(a, x):
-        fits = a["used"] + x["tokens"] <= tokens
-        return F.struct(F.when(fits, a["used"] + x["tokens"]).otherwise(a["used"]).alias("used"), F.when(fits, F.concat(a["got"], F.array(x))).otherwise(a["got"]).alias("got"))
-
-    return sized.agg(line.alias("x")).select(F.inline(F.aggregate("x", start, step, lambda a: a["got"]))).select("doc_id", "sent", "tokens", (-F.col("k")).alias("score"))
+    Sentences come to the driver in blocks of most ranks. What is left of the budget only falls, so each block is taken
+    from the later sentences that still fit; its first one is always picked, which bounds the blocks by the budget.
+    """
+    rest = scored(docs).where(F.col("tokens") <= tokens).persist()
+    left, got, after = tokens, [], F.lit(True)
+    while left > 0 and (block := rest.where(after & (F.col("tokens") <= left)).orderBy(F.desc("score"), "doc_id", "sent").limit(most).collect()):
+        for x in block:
+            if x.tokens <= left:
+                got.append(x)
+                left -= x.tokens
+        after = (F.col("score") < x.score) | (F.col("score") == x.score) & ((F.col("doc_id") > x.doc_id) | (F.col("doc_id") == x.doc_id) & (F.col("sent") > x.sent))
+    rest.unpersist()
+    return docs.sparkSession.createDataFrame(got, rest.schema)
 
 
 def top_terms(docs: DataFrame, k: int = 30) -> DataFrame:
