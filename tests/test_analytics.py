@@ -246,3 +246,22 @@ def test_summary_budget_tries_every_sentence(spark, tokens):
             left -= size[r.doc_id, r.sent]
             want.append((r.doc_id, r.sent, size[r.doc_id, r.sent], r.score))
     assert want and [tuple(r) for r in ranking.summary_budget(docs, tokens, 2).select("doc_id", "sent", "tokens", "score").collect()] == want
+
+
+def test_fisher_and_adjustment_take_rare_terms(spark, tmp_path):
+    texts = [(i, ("the cat" if i % 2 else "the der") + (f" rare{i}" if i < 6 else ""), "en" if i % 3 else "de") for i in range(24)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.term: r for r in comparison.QUERIES["fisher_whole"](spark, str(tmp_path)).collect()}
+    count = {t: [sum(t in x.split() and y == g for _, x, y in texts) for g in ("en", "de")] for t in {t for _, x, _ in texts for t in x.split()}}
+    assert set(got) == set(count) and len(count) == 9
+    for t, (a, b) in count.items():
+        assert (got[t].a, got[t].b) == (a, b) and got[t].p == pytest.approx(D.fisher_exact(a, b, 16 - a, 8 - b), abs=1e-6)
+    p = {r.term: 1 / (1 + r.g2) for r in comparison.keyness_stats(docs).collect()}
+    order, low, want = sorted(p, key=lambda t: (p[t], t)), 1.0, {}
+    for rank in range(len(order), 0, -1):
+        low = min(low, len(p) * p[order[rank - 1]] / rank)
+        want[order[rank - 1]] = low
+    out = {r.term: r for r in comparison.adjusted_whole(docs).collect()}
+    assert {t: r.bh for t, r in out.items()} == pytest.approx(want, abs=1e-6)
+    assert {t: r.bonferroni for t, r in out.items()} == pytest.approx({t: min(1, len(p) * v) for t, v in p.items()}, abs=1e-6)

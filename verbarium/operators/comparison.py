@@ -151,11 +151,12 @@ def mc_chisq(spark, sf: str) -> DataFrame:
     return spark.createDataFrame([(float(monte_carlo(t)),)], "p double")
 
 
-def fisher(spark, sf: str) -> DataFrame:
-    """Fisher's exact test of one term per row: in how many English and German documents the frequent terms stand."""
-    docs = table(spark, sf, "documents").where(F.col("lang").isin("fr", "es"))
-    n = docs.agg(F.sum((F.col("lang") == "fr").cast("long")).alias("nx"), F.sum((F.col("lang") == "es").cast("long")).alias("ny"))
-    df = doc_term(docs).join(docs.select("doc_id", "lang"), "doc_id").groupBy("term").agg(F.sum((F.col("lang") == "fr").cast("long")).alias("a"), F.sum((F.col("lang") == "es").cast("long")).alias("b")).where(F.col("a") + F.col("b") >= 20)
+def fisher(spark, sf: str, least: int = 20, target: str = "fr", reference: str = "es") -> DataFrame:
+    """Fisher's exact test of one term per row: in how many documents of two languages the terms with least documents
+    stand."""
+    docs = table(spark, sf, "documents").where(F.col("lang").isin(target, reference))
+    n = docs.agg(F.sum((F.col("lang") == target).cast("long")).alias("nx"), F.sum((F.col("lang") == reference).cast("long")).alias("ny"))
+    df = doc_term(docs).join(docs.select("doc_id", "lang"), "doc_id").groupBy("term").agg(F.sum((F.col("lang") == target).cast("long")).alias("a"), F.sum((F.col("lang") == reference).cast("long")).alias("b")).where(F.col("a") + F.col("b") >= least)
     x = df.crossJoin(F.broadcast(n))
     return x.select("term", "a", "b", round6(_fisher(F.col("a"), F.col("b"), F.col("nx") - F.col("a"), F.col("ny") - F.col("b"))).alias("p"))
 
@@ -193,6 +194,18 @@ def adjusted(docs: DataFrame) -> DataFrame:
     return s.select("term", round6(F.least(F.lit(1.0), m * F.col("p"))).alias("bonferroni"), round6(bh(F.col("p"), m, ["term"])).alias("bh"))
 
 
+def adjusted_whole(docs: DataFrame) -> DataFrame:
+    """adjusted over the family of all terms. Equal p values share their adjusted value, that of the last of them, so the
+    running sums and minima go over the different values only."""
+    s = keyness_stats(docs).select("term", (1 / (1 + F.col("g2"))).alias("p"))
+    values = s.groupBy("p").agg(F.count(F.lit(1)).alias("k"))
+    up = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = values.crossJoin(F.broadcast(values.agg(F.sum("k").alias("m")))).withColumn("rank", F.sum("k").over(up))
+    down = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    q = ranked.select("p", round6(F.least(F.lit(1.0), F.col("m") * F.col("p"))).alias("bonferroni"), round6(F.least(F.lit(1.0), F.min(F.col("m") * F.col("p") / F.col("rank")).over(down))).alias("bh"))
+    return s.join(F.broadcast(q), "p").select("term", "bonferroni", "bh")
+
+
 _PAIRS = SQL + """, pr AS (SELECT term, CAST(count(*) FILTER (lang = 'en') AS BIGINT) AS x, CAST(count(*) FILTER (lang = 'de') AS BIGINT) AS y FROM tok WHERE lang IN ('en', 'de') GROUP BY term),
 s AS (SELECT sum(x) AS sx, sum(y) AS sy, count(*) AS v FROM pr), pq AS (SELECT *, x / sx AS p, y / sy AS q FROM pr, s)"""
 _KL = "CASE WHEN {0} > 0 THEN {0} * log2({0} / {1}) ELSE 0 END"
@@ -220,6 +233,8 @@ QUERIES = {
     "corpus_similarity": _q(corpus_similarity), **{k: _only(v) for k, v in _NAMES.items()}, "lidstone": _q(lidstone), "vector_distances": vector_pairs,
     "keyness_stats": _q(keyness_stats), "keyness": _q(keyness), "p_adjust": _q(adjusted), "bonferroni": lambda s, sf: adjusted(table(s, sf, "documents")).select("term", "bonferroni"),
     "bh": lambda s, sf: adjusted(table(s, sf, "documents")).select("term", "bh"), "contingency": _flags(contingency), "association": _flags(association), "fisher": fisher, "mc_chisq": mc_chisq,
+    "fisher_whole": lambda s, sf: fisher(s, sf, 1, "en", "de"), "p_adjust_whole": _q(adjusted_whole),
+    "bonferroni_whole": lambda s, sf: adjusted_whole(table(s, sf, "documents")).select("term", "bonferroni"), "bh_whole": lambda s, sf: adjusted_whole(table(s, sf, "documents")).select("term", "bh"),
 }
 _BH = _KEY + """, ps AS (SELECT term, 1 / (1 + g2) AS p FROM key WHERE x + y >= 20), m AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, term) AS rk FROM ps),
 adj AS (SELECT term, round(least(1.0, m * p), 6) AS bonferroni, round(least(1.0, min(m * p / rk) OVER (ORDER BY p, term ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS bh FROM m)"""
@@ -239,3 +254,8 @@ ORACLES = {
       o AS (SELECT *, max(CASE WHEN i = a THEN pr END) OVER (PARTITION BY term) AS seen FROM p)
       SELECT term, a, b, round(least(1.0, sum(pr) FILTER (pr <= seen * (1 + 1e-7))), 6) AS p FROM o GROUP BY term, a, b""",
 }
+_BH_WHOLE = _BH.replace(" WHERE x + y >= 20", "")
+ORACLES |= {
+    "p_adjust_whole": _BH_WHOLE + " SELECT * FROM adj", "bonferroni_whole": _BH_WHOLE + " SELECT term, bonferroni FROM adj", "bh_whole": _BH_WHOLE + " SELECT term, bh FROM adj",
+    "fisher_whole": ORACLES["fisher"].replace(" WHERE a + b >= 20", "").replace("'fr'", "'en'").replace("'es'", "'de'"),
+}
