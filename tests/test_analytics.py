@@ -265,3 +265,22 @@ def test_fisher_and_adjustment_take_rare_terms(spark, tmp_path):
     out = {r.term: r for r in comparison.adjusted_whole(docs).collect()}
     assert {t: r.bh for t, r in out.items()} == pytest.approx(want, abs=1e-6)
     assert {t: r.bonferroni for t, r in out.items()} == pytest.approx({t: min(1, len(p) * v) for t, v in p.items()}, abs=1e-6)
+
+
+def test_multivariate_rows_are_documents(spark):
+    texts = ["a a b c", "a b b d", "c d d a", "b c", "a d x", "c c c b", "", "z w"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names = ["a", "b", "c", "d"]
+    x = np.array([[float(t.split().count(n)) for n in names] for t in texts])
+    size = np.array([max(1, len(t.split())) for t in texts])[:, None]
+    assert np.allclose(multivariate.document_svd(docs, 4), np.linalg.svd(x)[1])
+    assert np.allclose(multivariate.document_pca(docs, 4), multivariate.pca(x / size)["variance"])
+    want = multivariate.lsa(x)
+    values, at = multivariate.document_lsa(docs, 3, 4)
+    assert np.allclose(values, want["values"]) and np.allclose([r["at"] for r in at.orderBy("doc_id").collect()], want["documents"])
+    want = multivariate.correspondence(x)
+    inertia, at = multivariate.document_correspondence(docs, 2, 4)
+    rows = at.orderBy("doc_id").collect()
+    assert np.allclose(inertia, want["inertia"]) and [r.doc_id for r in rows] == [0, 1, 2, 3, 4, 5] and np.allclose([r["at"] for r in rows], want["rows"][:, :2])
+    points = spark.createDataFrame([(i, [float(v), 0.0]) for i, v in enumerate((0.0, 10, 1, 11, 30))], "doc_id long, v array<double>")
+    assert [r.cluster for r in multivariate.document_kmeans(points, 2, 3).orderBy("doc_id").collect()] == [0, 1, 0, 1, 2]

@@ -1,8 +1,8 @@
-"""Multivariate methods on a reduced document x term matrix: Spark counts and selects, numpy decomposes.
+"""Multivariate methods on the matrix of documents by top terms: Spark counts and selects, numpy decomposes.
 
-The matrix has the top terms as columns; documents are aggregated by a grouping column, so that its size depends on
-the analysis and not on the corpus. For documents as rows at scale, principal components come from the term x term
-cross-products, which one distributed aggregation makes.
+SVD, principal components, LSA and correspondence come from the term x term cross-products of all documents, which one
+distributed aggregation makes; k-means and coordinates are worked out where the documents lie. NMF and hierarchical
+clustering run on documents summed up by a grouping column. The numpy kernels take small dense matrices.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from verbarium.corpus import round6, table, terms
 from verbarium.operators.ranking import top_terms
 
-TOP, SEED = 30, 20260918
+TOP, SEED = 50, 20260918
 #: Points in a block of pairwise distances.
 BLOCK = 1024
 
@@ -213,6 +213,168 @@ def embedding_pca(vectors: DataFrame, dim: int = 64, k: int = 10) -> list[float]
     return np.sort(np.linalg.eigvalsh((m[1:, 1:] - n * np.outer(mean, mean)) / (n - 1)))[::-1][:k].tolist()
 
 
+def document_matrix(docs: DataFrame, form: str = "count", k: int = TOP) -> tuple[list, DataFrame]:
+    """The k top terms (term, df, f) by name, and (doc_id, v) of all documents with the terms' counts as they are, over the
+    document's length (relative; zeros without tokens), over their sum (profile) or over its root (root).
+
+    For profile and root, documents without any of the terms are left out, as correspondence analysis does.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    top = sorted(top_terms(docs, k).collect(), key=lambda r: r.term)
+    names = [r.term for r in top]
+    words = docs.select("doc_id", terms(F.coalesce("text", F.lit(""))).alias("t")).select("doc_id", F.size("t").cast("long").alias("len"), F.filter("t", lambda x: x.isin(names)).alias("t"))
+
+    def run(batches):
+        for batch in batches:
+            lists, n = batch.column(2), len(batch)
+            row, col = pc.list_parent_indices(lists).to_numpy(), pc.index_in(lists.flatten(), pa.array(names, pa.string())).to_numpy(zero_copy_only=False)
+            x = np.bincount(row.astype(np.int64) * len(names) + col, minlength=n * len(names)).reshape(n, len(names)).astype(float)
+            size, total, ids = batch.column(1).to_numpy()[:, None], x.sum(1, keepdims=True), batch.column(0)
+            x = x / {"count": 1, "relative": np.maximum(size, 1), "profile": np.maximum(total, 1), "root": np.sqrt(np.maximum(total, 1))}[form]
+            if form in ("profile", "root"):
+                keep = total[:, 0] > 0
+                x, ids = x[keep], ids.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(names), pa.int32()), pa.array(x.ravel()))], names=["doc_id", "v"])
+
+    return top, words.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, v array<double>")
+
+
+def _moments(rows: DataFrame, dim: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Number, sums and cross-products of the rows."""
+    m = cross_products(rows.select(F.col("v").alias("embedding")), dim)
+    return m[0, 0], m[0, 1:], m[1:, 1:]
+
+
+def _eigen(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues from the largest, what is only rounding set to 0, and vectors as rows, signed as in signed_svd."""
+    e, v = np.linalg.eigh(m)
+    e, v = e[::-1], v.T[::-1].copy()
+    e = np.where(e > len(m) * np.finfo(float).eps * max(e[0], 0), e, 0.0)
+    for i, x in enumerate(v):
+        big = np.flatnonzero(np.abs(x) > 1e-12)
+        if len(big) and x[big[0]] < 0:
+            v[i] = -x
+    return e, v
+
+
+def document_svd(docs: DataFrame, k: int = TOP) -> np.ndarray:
+    """Singular values of the counts of all documents."""
+    top, rows = document_matrix(docs, "count", k)
+    n, _, m = _moments(rows, len(top))
+    return np.sqrt(_eigen(m)[0])[: int(n)]
+
+
+def document_pca(docs: DataFrame, k: int = TOP) -> np.ndarray:
+    """Variances of the relative frequencies in all documents."""
+    top, rows = document_matrix(docs, "relative", k)
+    n, s, m = _moments(rows, len(top))
+    return _eigen((m - np.outer(s, s) / n) / (n - 1))[0]
+
+
+def _project(rows: DataFrame, scale: np.ndarray, shift: np.ndarray, axes: np.ndarray) -> DataFrame:
+    """(doc_id, at): coordinates (v * scale - shift) on the axes."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            x = (np.asarray(batch.column(1).flatten(), float).reshape(len(batch), -1) * scale - shift) @ axes.T
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(axes), pa.int32()), pa.array(x.ravel()))], names=["doc_id", "at"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, at array<double>")
+
+
+def document_lsa(docs: DataFrame, rank: int = 3, k: int = TOP) -> tuple[np.ndarray, DataFrame]:
+    """Singular values of n ln(D / df) over all documents, and (doc_id, at) with their coordinates u * s."""
+    top, rows = document_matrix(docs, "count", k)
+    n, _, m = _moments(rows, len(top))
+    idf = np.log(n / np.array([r.df for r in top]))
+    e, v = _eigen(m * np.outer(idf, idf))
+    return np.sqrt(e)[:rank], _project(rows, idf, np.zeros(len(top)), v[:rank])
+
+
+def document_correspondence(docs: DataFrame, axes: int = 2, k: int = TOP) -> tuple[np.ndarray, DataFrame]:
+    """Inertias, and (doc_id, at) with principal coordinates, of all documents that have a top term."""
+    top, rows = document_matrix(docs, "root", k)
+    _, _, m = _moments(rows, len(top))
+    f = np.array([r.f for r in top], float)
+    c = f / f.sum()
+    e, v = _eigen((m / f.sum() - np.outer(c, c)) / np.sqrt(np.outer(c, c)))
+    return e[np.sqrt(e) > 1e-7], _project(document_matrix(docs, "profile", k)[1], 1 / np.sqrt(c), np.sqrt(c), v[:axes])
+
+
+def document_kmeans(rows: DataFrame, dim: int, k: int, seed: int = SEED, restarts: int = 5, iterations: int = 300) -> DataFrame:
+    """(doc_id, cluster) of all rows (doc_id, v): k-means++ starts and Lloyd's rounds of all restarts in one pass each,
+    clusters numbered by their smallest doc_id.
+
+    A start takes the row with the least -ln(u) / d2, u being a hash of its id: a draw with weights d2 in one pass.
+    """
+    import pyarrow as pa
+
+    rows = rows.persist()
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    points = lambda column: np.asarray(column.flatten(), float).reshape(-1, dim)
+    far = lambda x, c: np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * x @ c.T, 0)
+    centres: list = [np.zeros((0, dim))] * restarts
+
+    for step in range(k):
+
+        def race(batches, at=centres):
+            for batch in batches:
+                if len(batch):
+                    x, h = points(batch.column(0)), np.asarray(batch.column(1).flatten()).reshape(-1, restarts)
+                    u = ((h.astype(np.uint64) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+                    for r, c in enumerate(at):
+                        d = ((x[:, None] - c[None]) ** 2).sum(-1).min(1) if len(c) else np.ones(len(x))
+                        key = np.where(d > 0, -np.log(u[:, r]) / np.where(d > 0, d, 1), np.inf)
+                        i = int(key.argmin())
+                        yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([key[i]]), pa.array([x[i].tolist()])], names=["r", "key", "v"])
+
+        drawn = rows.select("v", F.array(*(F.xxhash64("doc_id", F.lit(seed + r), F.lit(step)) for r in range(restarts)))).mapInArrow(race, "r int, key double, v array<double>")
+        best = {x.r: x.v for x in drawn.groupBy("r").agg(F.min_by("v", F.struct("key", "v")).alias("v")).collect()}
+        if not best:
+            return rows.select("doc_id", F.lit(0).alias("cluster"))
+        centres = [np.vstack([c, best[r]]) for r, c in enumerate(centres)]
+
+    at, inertia = np.array(centres), np.full(restarts, np.inf)
+    for _ in range(iterations):
+
+        def lloyd(batches, at=at):
+            total = np.zeros((restarts, k, dim + 2))
+            for batch in batches:
+                x = points(batch.column(0))
+                for r in range(restarts):
+                    d = far(x, at[r])
+                    mine = np.eye(k)[d.argmin(1)]
+                    total[r] += mine.T @ np.column_stack([x, np.ones(len(x)), d.min(1)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel())], names=["i", "x"])
+
+        total = np.zeros(restarts * k * (dim + 2))
+        for x in rows.select("v").mapInArrow(lloyd, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+            total[x.i] = x.x
+        total = total.reshape(restarts, k, dim + 2)
+        inertia, n = total[..., -1].sum(1), total[..., -2:-1]
+        new = np.where(n > 0, total[..., :dim] / np.maximum(n, 1), at)
+        if np.allclose(new, at, atol=1e-12, rtol=0):
+            break
+        at = new
+    chosen = at[int(inertia.argmin())]
+
+    def assign(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(far(points(batch.column(1)), chosen).argmin(1), pa.int32())], names=["doc_id", "c"])
+
+    out = rows.select("doc_id", "v").mapInArrow(assign, f"doc_id {kind}, c int")
+    order = [x.c for x in out.groupBy("c").agg(F.min("doc_id").alias("first")).orderBy("first").collect()]
+    return out.select("doc_id", (F.array_position(F.array(*map(F.lit, order)), F.col("c")) - 1).cast("int").alias("cluster"))
+
+
+def clusters(docs: DataFrame, clusters: int = 4, k: int = TOP) -> DataFrame:
+    top, rows = document_matrix(docs, "relative", k)
+    return document_kmeans(rows, len(top), clusters)
+
+
 def _values(f, name: str = "value"):
     def run(spark, sf):
         _, _, x = matrix(table(spark, sf, "documents"))
@@ -229,12 +391,20 @@ def _points(spark, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"), F.col("embedding").alias("v"))
 
 
+def _numbers(f):
+    return lambda spark, sf: spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(f(table(spark, sf, "documents")))], "i int, value double")
+
+
+def _coordinates(f, *names: str, key: str = "doc_id"):
+    return lambda spark, sf: f(table(spark, sf, "documents"))[1].select(F.col("doc_id").cast("string").alias(key) if key != "doc_id" else F.col(key), *(round6(F.col("at")[i]).alias(c) for i, c in enumerate(names)))
+
+
 QUERIES = {
-    "svd_jacobi": _values(lambda x: signed_svd(x)[1]), "svd_truncated": _values(lambda x: truncated_svd(x, 5)[1]), "ca": _values(lambda x: correspondence(x)["inertia"]), "pca": _values(lambda x: pca(_relative(x))["variance"][:10]),
-    "lsa": _values(lambda x: lsa(x)["values"]), "nmf": _values(lambda x: [nmf(x)["error"]]), "hac": _values(lambda x: [m[2] for m in hierarchical(_relative(x))]), "hac_ward": _values(lambda x: [m[2] for m in hierarchical(_relative(x), "ward")]),
-    "hac_cut": _values(lambda x: cut(hierarchical(_relative(x)), len(x), 4)), "kmeans": _values(lambda x: kmeans(_relative(x), 4)[0]), "silhouette": lambda s, sf: silhouette(_points(s, sf)),
+    "svd_jacobi": _numbers(document_svd), "svd_truncated": _numbers(lambda d: document_svd(d)[:5]), "ca": _numbers(lambda d: document_correspondence(d)[0]), "pca": _numbers(lambda d: document_pca(d)[:10]),
+    "lsa": _numbers(lambda d: document_lsa(d)[0]), "lsa_documents": _coordinates(document_lsa, "d1", "d2", "d3"), "nmf": _values(lambda x: [nmf(x)["error"]]), "hac": _values(lambda x: [m[2] for m in hierarchical(_relative(x))]), "hac_ward": _values(lambda x: [m[2] for m in hierarchical(_relative(x), "ward")]),
+    "hac_cut": _values(lambda x: cut(hierarchical(_relative(x)), len(x), 4)), "kmeans": lambda s, sf: clusters(table(s, sf, "documents")), "silhouette": lambda s, sf: silhouette(_points(s, sf)),
     "pca_embeddings": lambda s, sf: s.createDataFrame([(i, round(v, 6)) for i, v in enumerate(embedding_pca(table(s, sf, "embeddings")))], "i int, value double"),
-    "multivariate": lambda s, sf: s.createDataFrame([(str(n), float(a), float(b)) for d in [matrix(table(s, sf, "documents"))] for n, (a, b) in zip(d[0], correspondence(d[2])["rows"][:, :2], strict=True)], "row string, x double, y double"),
+    "multivariate": _coordinates(document_correspondence, "x", "y", key="row"),
 }
 ORACLES = {
     "silhouette": """WITH p AS (SELECT vec_id AS id, label AS cluster, embedding::DOUBLE[] AS v FROM embeddings),
