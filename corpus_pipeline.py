@@ -55,7 +55,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", toxic), ("exact dedup", exact), ("near dedup", near), ("mixing", mixed), ("tokens", tokens)]
-#: Compression distances, Order MinHash and byte-pair merges are not SQL; tests/llm holds brute-force versions.
+#: Compression distances, Order MinHash and byte-pair merges are not SQL; tests/llm holds brute-force versions of
+#: operators, not of the stages here.
 ORACLE_SQL = None
 
 

@@ -199,7 +199,7 @@ def _events_log(spark, sf: str) -> DataFrame:
 
 
 def execute(spark, sf: str) -> DataFrame:
-    """A plan over the documents by language: steps and decisions, and the rows that each small step makes."""
+    """The decisions of a plan over the documents by language; its steps are not run."""
     docs = table(spark, sf, "documents")
     sizes = {r.lang: r.n for r in docs.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
     p = plan({"review.completely"}, sizes, ({"en"}, {"de"}))
