@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +20,7 @@ from pyspark.sql import functions as F
 #: Rows whose crc32(doc_id as text) leaves this remainder modulo HELD_OUT_FOLDS are never learned from.
 HELD_OUT_FOLDS, HELD_OUT_FOLD = 4, 2
 #: Bytes of text that a numpy kernel holds at a time; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,24 +32,82 @@ def held_out(doc_id: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or an own one in local mode where that is unset.
+
+    On a cluster without one this raises, since a machine-local folder would lose rows there.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = f"file://{tempfile.gettempdir()}/verbarium-{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(f"file://{tempfile.gettempdir()}/verbarium-{os.getpid()}")
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _at_end(spark: SparkSession, folder: str) -> None:
+    """Deletes an application's staged tables when the driver's Python ends, if its JVM is still there."""
+    with contextlib.suppress(Exception):
+        _delete(spark, folder)
+
+
+@lru_cache(maxsize=8)
+def _stage_dir(spark: SparkSession, application: str) -> str:
+    folder = f"{shared_dir(spark)}/stage/{application}"
+    atexit.register(_at_end, spark, folder)
+    return folder
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """df written once to the shared folder and read again: lineage ends in files that outlive any executor."""
-    path = f"{shared_dir(df.sparkSession)}/stage/{label}-{uuid.uuid4().hex}"
+    """df written once to the shared folder and read again: lineage ends in files that outlive any executor.
+
+    unstage() deletes such a table as soon as nothing reads it any more, the end of the application what is left.
+    """
+    spark = df.sparkSession
+    path = f"{_stage_dir(spark, spark.sparkContext.applicationId)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Deletes staged tables that have been read for the last time."""
+    for df in tables:
+        _delete(df.sparkSession, df.staged_at)
+
+
+def tidy(batches: Callable) -> Callable:
+    """An Arrow function that gives its memory back to the system when a partition ends, as workers are used again."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from batches(rows)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches end at 8 MB too, so that a run of very long texts does not fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Arrow batches end at 4 MB too, so that a run of very long texts does not fill a worker.
+
+    The limit is the session's (Spark has none for a single plan) and stays, as plans are run after this returns.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def literal_rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:

@@ -8,8 +8,8 @@ Two texts are equal if their lists are equal, element by element and in length.
 never moved: recipes (16 bytes for ~2 KB of text) and chunk digests are what is shuffled.
 
 Edge cases: null counts as empty and the empty text has the empty recipe; repeated rows (same doc_id and text) are
-counted one by one, and if they are the last of their group each is kept=true only by its doc_id; an empty table
-gives an empty result; extra columns are not read. A hot group is pre-aggregated; joining it back goes through a
+counted one by one, and kept goes by doc_id, so it is true for each row of the largest one; null doc_ids come last
+(a group of them only has keep_id null and keeps them); an empty table gives an empty result; extra columns are not read. A hot group is pre-aggregated; joining it back goes through a
 sort-merge join whose large partitions Spark splits.
 """
 
@@ -21,14 +21,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verbarium.llm.common import mix64, small_batches, staged, table, text_slices
+from verbarium.llm.common import mix64, small_batches, staged, table, text_slices, tidy
 
 WINDOW = 32
 #: One cut in 2 ** CUT_BITS positions on average, none before LEAST bytes, one after MOST at the latest.
 CUT_BITS, LEAST, MOST = 11, 256, 16384
+#: Chunks that a task remembers as reported, so as to report fewer of them twice.
+SEEN = 100_000
 #: The gear table: 256 pseudo-random words from a rule.
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(32)).astype(np.uint32)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -86,7 +88,7 @@ def _recipes(strong: bool):
                         fp = hashlib.sha256(chunk).digest() if strong else xxhash.xxh3_128_digest(chunk)
                         recipe.append(fp)
                         if not strong and (key := fp + (sha := hashlib.sha256(chunk).digest())) not in seen:
-                            if len(seen) > 200_000:
+                            if len(seen) > SEEN:
                                 seen.clear()
                             seen.add(key)
                             new.append({"fp": fp, "sha": sha, "size": end - at})
@@ -105,20 +107,25 @@ def recipes(docs: DataFrame) -> DataFrame:
     """(doc_id, text_sha256, recipe) of each row, the identifiers in the recipe verified. Staged in the shared folder."""
     small_batches(docs.sparkSession)
     source = docs.select("doc_id", "text")
-    out = staged(source.mapInArrow(_recipes(False), _RECIPES), "recipes")
+    out = staged(source.mapInArrow(tidy(_recipes(False)), _RECIPES), "recipes")
     chunks = out.select(F.explode("chunks").alias("c")).groupBy("c.fp").agg(F.min("c.sha").alias("a"), F.max("c.sha").alias("b"), F.min("c.size").alias("m"), F.max("c.size").alias("n"))
     if chunks.where("a <> b or m <> n").isEmpty():
         return out.drop("chunks")
-    return staged(source.mapInArrow(_recipes(True), _RECIPES), "recipes").drop("chunks")
+    return staged(source.mapInArrow(tidy(_recipes(True)), _RECIPES), "recipes").drop("chunks")
 
 
 def chunk_store(docs: DataFrame) -> DataFrame:
     """Distinct chunks: (fp, size, documents that report it): what a chunk store would hold once."""
     small_batches(docs.sparkSession)
-    out = docs.select("doc_id", "text").mapInArrow(_recipes(False), _RECIPES)
+    out = docs.select("doc_id", "text").mapInArrow(tidy(_recipes(False)), _RECIPES)
     return out.select("doc_id", F.explode("chunks").alias("c")).groupBy("c.fp").agg(F.max("c.size").alias("size"), F.count(F.lit(1)).alias("reports"))
 
 
+def normal(text: Column) -> Column:
+    """What texts are compared by, as a column: A-Z lower-cased, null as empty."""
+    return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     made = recipes(docs)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbarium.llm.common import held_out, literal_rows, small_batches, table
+from verbarium.llm.common import held_out, literal_rows, small_batches, table, tidy
 
 BUCKETS = 1 << 15
 LONGEST = 4
@@ -116,7 +116,7 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         return [], np.zeros((0, BUCKETS + 1), np.float32)
     part = literal_rows(docs.sparkSession, [(x, int(min(1.0, FIT_ROWS / seen[x]) * (1 << 20))) for x in langs], "lang string,part int")
     some = rows.join(F.broadcast(part), "lang").where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) < F.col("part"))
-    counts = some.select("lang", "text").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = some.select("lang", "text").mapInArrow(tidy(_count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros((len(langs), BUCKETS))
     if counts.num_rows:
         n[[langs.index(x) for x in counts["lang"].to_pylist()], counts["bucket"].to_numpy()] = counts["n"].to_numpy()
@@ -152,7 +152,7 @@ def predict(docs: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
                 scores = np.where(letters > 0, scores, 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names or ["und"] * n, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
