@@ -9,7 +9,8 @@ Finding a threshold never sorts documents. Level 1 sums sizes by (source, highes
 running sum crosses the budget lies the boundary bucket. Level 2 sums only rows of the boundary buckets by the next
 bits, and so on until all LEVELS * BITS bits are used. Then the documents are filtered by hash <= threshold.
 Histograms are aggregated before they are shuffled, so a hot source costs one row per bucket and task. The per-source
-plan is a staged table of known size: Spark broadcasts it below its size limit and shuffles (and splits) beyond.
+plan is a staged table of known size: Spark broadcasts it below its size limit and shuffles (and splits) beyond. Targets
+take windows over one row per source in one task: fine for sources by the hundred thousand.
 
 Edge cases: a null text has size 0; null sources form one source; an empty table gives an empty result; a source of
 size 0 has target 0 and its documents are taken once per whole share (times may be 0). Rows with the same doc_id
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbarium.llm.common import staged, table
+from verbarium.llm.common import staged, table, unstage
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = 3
@@ -72,21 +73,51 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source", F.when(F.col("left") * 2 >= F.col("size"), F.col("bucket") + 1).otherwise(F.col("bucket")).alias("threshold"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, times (copies taken), taken (words taken)."""
-    rows = staged(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), hash60(F.col(key)).alias("h")), "mix-rows")
+def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(doc_id, source, size, h) of each document."""
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), hash60(F.col(key)).alias("h"))
+
+
+def cuts(rows: DataFrame) -> DataFrame:
+    """One row per source of staged rows (source, size, h): __source, source_size, target, whole, threshold.
+
+    A document of the source is taken whole times, and once more if its hash is under the threshold. The table is staged:
+    its size is known, so documents of a hot source meet it by broadcast (or by a join that AQE can split).
+    """
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = staged(plan.withColumn("whole", F.floor(share).cast("long")).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "mix-plan")
-    cuts = thresholds(rows, plan.where("budget > 0").select("source", "budget"))
-    plan = plan.join(cuts.select(F.col("source").alias("__s"), "threshold"), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
-    # staged: its size is known, so documents of a hot source meet it by broadcast (or by a join that AQE can split)
-    plan = staged(plan.select(F.col("source").alias("__source"), "source_size", "target", "whole", F.coalesce("threshold", F.lit(0)).alias("threshold")), "mix-cuts")
-    out = rows.join(plan, F.col("source").eqNullSafe(F.col("__source")))
-    out = out.withColumn("times", F.col("whole") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0))
+    found = thresholds(rows, plan.where("budget > 0").select("source", "budget"))
+    joined = plan.join(found.select(F.col("source").alias("__s"), "threshold"), F.col("source").eqNullSafe(F.col("__s")), "left")
+    return staged(joined.select(F.col("source").alias("__source"), "source_size", "target", "whole", F.coalesce("threshold", F.lit(0)).alias("threshold")), "mix-cuts")
+
+
+def times(h: Column, plan: DataFrame) -> Column:
+    """How often the mix takes a document with this hash."""
+    return plan["whole"] + F.when(h < plan["threshold"], 1).otherwise(0)
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, times (copies taken), taken (words taken)."""
+    rows = staged(sized(docs, key, text, source), "mix-rows")
+    plan = cuts(rows)
+    out = rows.join(plan, rows["source"].eqNullSafe(plan["__source"])).withColumn("times", times(rows["h"], plan))
     return out.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
 
 
+def taken(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of docs, all columns, each as many times as the mix takes it."""
+    rows = staged(sized(docs, key, text, source).select("source", "size", "h"), "mix-rows")
+    plan = cuts(rows)
+    unstage(rows)
+    copies = F.explode(F.expr("sequence(1L, __times)"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))  # no name in docs can clash
+    out = whole.join(plan, F.col(f"__row.`{source}`").eqNullSafe(plan["__source"]))
+    out = out.withColumn("__times", times(hash60(F.col(f"__row.`{key}`")), plan)).where("__times > 0")
+    return out.select("__row", copies).select("__row.*")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op5: the mix of all documents."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "times")

@@ -8,8 +8,9 @@ length difference of each window is worth the log-likelihood ratio of that diffe
 toxic and of ordinary texts; a text's value is the sum, and its score a logistic curve that is 0.3 at the cut.
 
 Fitting takes at most FIT_TOXIC and FIT_ORDINARY rows (lowest hashes of doc_id, FIT_BYTES of text per class) of
-those not held out, on the driver; scoring is one pass over Arrow batches with the two dictionaries (about 200 KB)
-in the function, and no shuffle.
+those not held out, on the driver, for the dictionaries; the worth of differences and the curve are fitted on the
+TUNE_TOXIC and TUNE_ORDINARY of them with the lowest hashes. Scoring is one pass over Arrow batches with the two
+dictionaries (about 200 KB) in the function, and no shuffle.
 
 Edge cases: null counts as empty, and the empty text has one empty window; very long texts are windowed wholly, in
 parts; repeated label rows are merged (the larger label counts); without training rows of both classes every score
@@ -26,11 +27,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbarium.llm.common import fetch, held_out, sample_ids, small_batches, table
+from verbarium.llm.common import fetch, held_out, sample_ids, small_batches, table, tidy
 from verbarium.llm.quality import calibrate, logistic
 
 CUT = 0.3
 FIT_TOXIC, FIT_ORDINARY, FIT_BYTES = 2000, 6000, 8 << 20
+TUNE_TOXIC, TUNE_ORDINARY = 800, 1600
 WORDS = 6
 LEVEL = 12
 #: Lengths of the byte strings that are compared, and what a string must reach: G squared, ratio of frequencies, and
@@ -90,7 +92,10 @@ def telling(toxic: list[str], ordinary: list[str]) -> list[bytes]:
 
 
 class Model:
-    """Two dictionaries, the worth of each length difference and the curve. Compressors are made where it is used."""
+    """Two dictionaries, the worth of each length difference and the curve. Compressors are made where it is used.
+
+    Texts come in the order of their rows' hashes, so that the first of them are a sample too.
+    """
 
     def __init__(self, toxic: list[str], ordinary: list[str]):
         self.ready = bool(toxic and ordinary)
@@ -107,8 +112,7 @@ class Model:
             size += len(pool[i])
         self.ordinary = b"".join(body)[:ORDINARY_BYTES]
         self.toxic = b"".join(telling(toxic, ordinary))[-TOXIC_BYTES:] + self.ordinary
-        half_t, half_o = toxic[:800], ordinary[:1600]
-        each_t, each_o = [self.differences([t]) for t in half_t], [self.differences([t]) for t in half_o]
+        each_t, each_o = [self.differences([t]) for t in toxic[:TUNE_TOXIC]], [self.differences([t]) for t in ordinary[:TUNE_ORDINARY]]
         t, o = (np.sum([np.bincount(x[0] - LOW, minlength=HIGH - LOW + 1) for x in each], 0) for each in (each_t, each_o))
         self.worth = np.log((t + 0.5) / (t.sum() + 0.5 * len(t))) - np.log((o + 0.5) / (o.sum() + 0.5 * len(o)))
         values = np.array([self.worth[x[0] - LOW].sum() for x in each_t + each_o])
@@ -146,23 +150,36 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     texts = []
     for y, most in ((1, FIT_TOXIC), (0, FIT_ORDINARY)):
         ids = sample_ids(known.where(F.col("y") == y), docs, most, FIT_BYTES)
-        rows = fetch(docs, ids, "text").where("text is not null").dropDuplicates().orderBy("doc_id", "text").collect() if ids else []
-        texts.append([r.text for r in rows])
+        rows = fetch(docs, ids, "text").where("text is not null").dropDuplicates().collect() if ids else []
+        place = {x: k for k, x in enumerate(ids)}
+        texts.append([r.text for r in sorted(rows, key=lambda r: (place[r.doc_id], r.text))])
     return Model(*texts)
 
 
+def _scores(model: Model, texts: pa.Array) -> np.ndarray:
+    return np.concatenate([model.score(texts.slice(at, 256).to_pylist()) for at in range(0, len(texts), 256)] or [np.zeros(0)])
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs (doc_id, text) -> doc_id, score."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, scores = batch.column(1), []
-            for at in range(0, len(texts), 256):
-                scores.append(model.score(texts.slice(at, 256).to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(model, batch.column(1)), pa.float64())], names=["doc_id", "score"])
+
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, score double")
+
+
+def accepted(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
+    """The rows of docs, all columns, whose text scores under cut: scored and filtered where they lie."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(model, batch.column("text")) < cut))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
