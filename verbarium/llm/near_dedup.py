@@ -4,27 +4,36 @@ A text is lower-cased and cut into words (white space and ASCII marks separate);
 labelled with its occurrence number in the text. A sketch takes the ELL labelled k-mers that are minimal under its
 hash and keeps them in text order, so that equal sketches mean equal k-mers in equal order: the chance grows with
 edit similarity, and falls for texts that hold the same passages in another order. Texts that share one of SKETCHES
-sketches are candidates. A candidate pair counts if its banded alignment does: with L the longest common subsequence
-of labelled k-mers within the diagonal band that a similarity of SIMILARITY leaves open (|i - j| at most
-(n + m) (1 - s) / (1 + s)), the similarity is L / (n + m - L). At SIMILARITY, a pair shares no sketch with
-probability (1 - 0.51) ** 16, about 1e-5.
-
-Classes are the connected components of the verified pairs; each is named by its smallest doc_id. Work by stages, all
-distributed: (1) sketch each text where it lies; (2) texts equal as word sequences become one representative;
-(3) in each bucket of equal sketches pair the members with the smallest one, not with each other; (4) verify;
-(5) components by alternating large-star and small-star; (6) buckets whose members are still in several components are
-compared in full, in pairs of blocks of BLOCK texts inside a task, where only pairs of different components whose
-k-mer counts allow SIMILARITY are aligned and only links that join components leave the task. So a bucket of n texts
-that are alike costs n pairs, and no candidate pair is lost in one of texts that are not.
+sketches are candidates.
+
+A candidate pair is verified by a banded alignment of its words, anchored in the k-mers: the longest chain of common
+labelled k-mers that is increasing in both texts and stays within the diagonal band that a similarity of SIMILARITY
+leaves open (|i - j| at most (n + m) (1 - s) / (1 + s) for n and m words); every k-mer of the chain aligns its words, each
+word once. With A words aligned, the similarity is A / (n + m - A). A pair counts at SIMILARITY or more. So a word
+counts as kept if it lies in a run of K kept words, and copies with up to about 7 % of their words changed at random are
+found; a plain share of common 5-word k-mers would already be down to 0.8 at 2 %. A pair of 7 % shares no sketch
+with probability (1 - 0.15) ** 32, 0.5 %; one of 4 % with 1e-5.
+
+Classes are the connected components of the verified pairs; class_id is the smallest doc_id in it. Work by stages, all
+distributed: (1) sketch each text where it lies; (2) texts equal as word sequences become one representative, with an
+identifier of its own; (3) in each bucket of equal sketches pair the members with the first one, not with each other;
+(4) verify; (5) components by alternating large-star and small-star; (6) buckets whose members are still in several
+components are compared in full: members go by classes of lengths (only texts whose lengths differ by SIMILARITY at
+most can match, so a class meets itself and the next one), in pairs of blocks of at most BLOCK texts and BLOCK_WORDS words,
+where only pairs of different components with enough common k-mers are aligned and only links that join components
+leave the task. So a bucket of n texts that are alike costs n pairs, and no candidate pair is lost in one of texts that
+are not; that one costs the pairs of like length, as dense products in its tasks.
 
 Edge cases: null counts as empty; a text of fewer than K words has one k-mer, all its words; texts without words are
-copies of each other; repeated rows are one document, kept or dropped together; a row with a null doc_id is in no class
-and kept; an empty table gives an empty result; extra columns are not read.
+copies of each other; rows with one doc_id and different texts are documents of their own (text_hash tells them apart);
+rows equal in doc_id and text are one document, kept or dropped together; a null doc_id is taken last, so a class of
+such rows only has class_id null; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +42,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbarium.llm.common import mix64, small_batches, staged, table, text_slices
+from verbarium.llm.common import mix64, small_batches, staged, table, text_slices, tidy, unstage
 from verbarium.llm.quality import _spans, run_hashes
 
 K, SIMILARITY = 5, 0.8
-SKETCHES, ELL = 16, 3
-BLOCK = 400
+SKETCHES, ELL = 32, 3
+#: Texts of a bucket that one side of a comparison in full holds at most, and words of them.
+BLOCK, BLOCK_WORDS = 400, 1_000_000
 #: Candidates' ids up to this number (8 MB) are broadcast to filter texts; beyond it the texts are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Hash values that a sketch looks at per text on average; a text with fewer than ELL among them is looked at wholly.
@@ -53,8 +63,8 @@ def lowered(column: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([(t or "").lower() for t in column.to_pylist()], pa.string())], names=["text"])
 
 
-def kmers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """(labelled k-mers in text order, their owners, k-mers of each text, digest of each text's words)."""
+def kmers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(labelled k-mers in text order, their owners, k-mers, words and digest of the words of each text)."""
     n = len(offsets) - 1
     starts, ends, owner = _spans(_SEPARATES[data], offsets)
     words = run_hashes(data, starts, ends)
@@ -78,7 +88,7 @@ def kmers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     run = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
     number = np.empty(len(order), np.uint64)
     number[order] = run.astype(np.uint64)
-    return np.where(number > 0, mix64(mixed + number * np.uint64(0x9FB21C651E98DF25)), mixed), own, count, digests
+    return np.where(number > 0, mix64(mixed + number * np.uint64(0x9FB21C651E98DF25)), mixed), own, count, many, digests
 
 
 def sketches(keys: np.ndarray, own: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -109,69 +119,81 @@ def sketches(keys: np.ndarray, own: np.ndarray, count: np.ndarray) -> np.ndarray
     return mix64(out + np.arange(SKETCHES, dtype=np.uint64))
 
 
-_SKETCHED = "doc_id long, digest binary, n int, sketches array<long>"
+_SKETCHED = "doc_id long, text_hash long, digest binary, n int, sketches array<long>"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0)
-        for first, last, data, offsets in text_slices(lowered(batch.column(1)), "text"):
-            keys, own, count, digests = kmers(data, offsets)
+        for first, last, data, offsets in text_slices(lowered(batch.column(2)), "text"):
+            keys, own, count, words, digests = kmers(data, offsets)
             values = sketches(keys, own, count).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, SKETCHES), pa.int32()), pa.array(values.ravel()))
-            yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(digests, pa.binary()), pa.array(count, pa.int32()), lists], names=["doc_id", "digest", "n", "sketches"])
+            ids = [batch.column(i).slice(first, last - first) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(digests, pa.binary()), pa.array(words, pa.int32()), lists], names=["doc_id", "text_hash", "digest", "n", "sketches"])
 
 
-def keys_of(texts: list[str | None]) -> list[np.ndarray]:
-    """Labelled k-mers of each text."""
+def keys_of(texts: list[str | None]) -> list[tuple[np.ndarray, int]]:
+    """(labelled k-mers in text order, number of words) of each text."""
     out = []
     for _, _, data, offsets in text_slices(lowered(pa.array(texts, pa.string())), "text"):
-        keys, _, count, _ = kmers(data, offsets)
-        out += np.split(keys, np.cumsum(count)[:-1])
+        keys, _, count, words, _ = kmers(data, offsets)
+        out += zip(np.split(keys, np.cumsum(count)[:-1]), words.tolist(), strict=True)
     return out
 
 
-def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Banded alignment similarity of two labelled k-mer sequences; 0 where it cannot reach least."""
-    n, m = len(a), len(b)
+def _chain(j: np.ndarray) -> np.ndarray:
+    """Places of a longest increasing subsequence of j."""
+    if (np.diff(j) > 0).all():
+        return np.arange(len(j))
+    ends: list[int] = []  # the smallest last value of a chain of each length, and where it stands
+    where: list[int] = []
+    before = np.full(len(j), -1)
+    for at, x in enumerate(j.tolist()):
+        n = bisect_right(ends, x)
+        if n:
+            before[at] = where[n - 1]
+        ends[n : n + 1] = [x]
+        where[n : n + 1] = [at]
+    out, at = [], where[-1]
+    while at >= 0:
+        out.append(at)
+        at = before[at]
+    return np.array(out[::-1])
+
+
+def similarity(a: tuple[np.ndarray, int], b: tuple[np.ndarray, int], least: float = SIMILARITY) -> float:
+    """Share of aligned words of two texts, given as by keys_of; 0 where it cannot reach least."""
+    (ka, n), (kb, m) = a, b
     if not n or not m:
         return float(n == m)
     need = least * (n + m) / (1 + least) - 1e-9
     if min(n, m) < need:
         return 0.0
-    order = np.argsort(b)
-    at = np.searchsorted(b[order], a)
-    at[at == m] = 0
-    hit = np.flatnonzero(b[order][at] == a)
-    j = order[at[hit]]
-    band = (n + m) * (1 - least) / (1 + least) + 1
-    j = j[np.abs(hit - j) <= band]
-    if len(j) < need:
+    order = np.argsort(kb)
+    at = np.searchsorted(kb[order], ka)
+    at[at == len(kb)] = 0
+    i = np.flatnonzero(kb[order][at] == ka)
+    j = order[at[i]]
+    near = np.abs(i - j) <= (n + m) * (1 - least) / (1 + least) + 1
+    i, j = i[near], j[near]
+    if K * len(j) < need:
         return 0.0
-    if (np.diff(j) > 0).all():
-        common = len(j)
-    else:  # the labelled k-mers are unique, so the longest common subsequence is the longest increasing one
-        tails: list[int] = []
-        for x in j.tolist():
-            if (p := bisect_left(tails, x)) == len(tails):
-                tails.append(x)
-            else:
-                tails[p] = x
-        common = len(tails)
-    return common / (n + m - common) if common >= need else 0.0
+    if n < K or m < K:  # one k-mer that is the whole text
+        return 1.0
+    chain = _chain(j)
+    aligned = K + int(np.minimum(np.minimum(np.diff(i[chain]), np.diff(j[chain])), K).sum())
+    return aligned / (n + m - aligned) if aligned >= need else 0.0
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: tuple = (None, None, None)
+    held: tuple = (None, None)
     for batch in batches:
-        a, b, texts_a, texts_b = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)
+        a, texts_a = batch.column(0).to_pylist(), batch.column(2)
         good = []
-        keys_b = keys_of(texts_b.to_pylist())
-        for i in range(len(a)):
-            text = texts_a[i].as_py()
-            if held[0] != a[i] or held[1] != text:
-                held = (a[i], text, keys_of([text])[0])
-            good.append(similarity(held[2], keys_b[i]) >= SIMILARITY)
+        for i, b in enumerate(keys_of(batch.column(3).to_pylist())):
+            if held[0] != a[i]:
+                held = (a[i], keys_of([texts_a[i].as_py()])[0])
+            good.append(similarity(held[1], b) >= SIMILARITY)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
 
 
@@ -194,37 +216,46 @@ class Joined:
 
 
 def _compare(group: pa.Table) -> pa.Table:
-    """Links that join components among the texts of two blocks of a bucket (or of one)."""
+    """Links that join components between two blocks of a bucket (or within one)."""
     group = group.sort_by("rep")
     reps, comps = group["rep"].to_pylist(), group["comp"].to_pylist()
-    keys = keys_of(group["text"].to_pylist())
-    n = len(reps)
-    sizes = np.array([len(k) for k in keys])
-    joined, first = Joined(n), {}
-    for i, c in enumerate(comps):
-        joined.join(first.setdefault(c, i), i)
-    flat = np.concatenate(keys) if n else np.zeros(0, np.uint64)
-    distinct, place, df = np.unique(flat, return_inverse=True, return_counts=True)
+    left = np.asarray(group["left"])
+    n, out_a, out_b = len(reps), [], []
+    if len(set(comps)) > 1:
+        keys = keys_of(group["text"].to_pylist())
+        joined, first = Joined(n), {}
+        for i, c in enumerate(comps):
+            joined.join(first.setdefault(c, i), i)
+        need = SIMILARITY / (1 + SIMILARITY) / K * np.array([words for _, words in keys])
+        may = _common(keys) >= need[:, None] + need[None, :] - 1e-3
+        if not left.all():  # two blocks: pairs within either belong to other tasks
+            may &= left[:, None] != left[None, :]
+        for i, j in np.argwhere(np.triu(may, 1)).tolist():
+            if joined.root(i) != joined.root(j) and similarity(keys[i], keys[j]) >= SIMILARITY:
+                joined.join(i, j)
+                out_a.append(reps[i])
+                out_b.append(reps[j])
+    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+
+def _common(keys: list[tuple[np.ndarray, int]]) -> np.ndarray:
+    """Number of common labelled k-mers of each pair, as dense products of 4096 k-mers at a time."""
+    n = len(keys)
+    flat = np.concatenate([k for k, _ in keys])
+    _, place, df = np.unique(flat, return_inverse=True, return_counts=True)
     column = np.cumsum(df > 1) - 1
-    owner = np.repeat(np.arange(n), sizes)
+    owner = np.repeat(np.arange(n), [len(k) for k, _ in keys])
     shared = df[place] > 1
     owner, place = owner[shared], column[place[shared]]
-    both = np.zeros((n, n), np.float32)
     order = np.argsort(place, kind="stable")
     owner, place = owner[order], place[order]
+    both = np.zeros((n, n), np.float32)
     for at in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
         lo, hi = np.searchsorted(place, [at, at + 4096])
         x = np.zeros((n, 4096), np.float32)
         x[owner[lo:hi], place[lo:hi] - at] = 1
         both += x @ x.T
-    may = both >= SIMILARITY * (sizes[:, None] + sizes[None, :]) / (1 + SIMILARITY) - 1e-3
-    out_a, out_b = [], []
-    for i, j in np.argwhere(np.triu(may, 1)).tolist():
-        if joined.root(i) != joined.root(j) and similarity(keys[i], keys[j]) >= SIMILARITY:
-            joined.join(i, j)
-            out_a.append(reps[i])
-            out_b.append(reps[j])
-    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+    return both
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -240,54 +271,92 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
         mark = (seen.n, seen.h)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large")
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large_least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large")
+        large = both.join(large_least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = staged(large, "large-star")
         least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "small")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "small-star")
+        grown = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "small-star")
+        unstage(now, large_least, large, least)
+        now = grown
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, text) of these ids, staged."""
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return staged(docs.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep", "left_semi"), "candidates")
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, text) of the representatives wanted (rep, doc_id, text_hash), staged."""
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    there = docs.select("doc_id", "text", _text_hash().alias("text_hash"))
+    same = there["doc_id"].eqNullSafe(wanted["doc_id"]) & (there["text_hash"] == wanted["text_hash"])
+    found = staged(there.join(wanted, same).select("rep", "text"), "candidates")
+    if found.groupBy("rep").count().where("count > 1").isEmpty():
+        return found
+    return staged(found.dropDuplicates(["rep"]), "candidates")  # rows equal in doc_id and text
+
+
+def _text_hash():
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def _in_full(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between components, from the buckets whose members placed (band, value, rep, n, comp) are in several."""
+    same = F.sum(F.xxhash64("rep").cast("decimal(38,0)"))
+    mixed = placed.groupBy("band", "value").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size"), same.alias("same"), F.min("rep").alias("leader")).where("x <> y")
+    # buckets of the same members are compared once
+    mixed = mixed.groupBy("size", "same", "leader").agg(F.min(F.struct("band", "value")).alias("k")).select("k.*")
+    rows = staged(placed.join(mixed, ["band", "value"]).withColumn("length", F.floor(F.log("n") / -math.log(SIMILARITY) + 1e-9).cast("int")), "mixed")
+    most = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(BLOCK_WORDS / F.max("n")).cast("int")))
+    sizes = staged(rows.groupBy("band", "value", "length").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("blocks")), "lengths")
+    for step, name in ((-1, "shorter"), (1, "longer")):
+        beside = sizes.select("band", "value", (F.col("length") - step).alias("length"), F.col("blocks").alias(name))
+        rows = rows.join(beside, ["band", "value", "length"], "left")
+    rows = rows.join(sizes, ["band", "value", "length"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # (length, block) of the left side, (length, block) of the right side, whether this row is on the left
+    pair = lambda l, a, m, b, left: F.struct(l.alias("l"), a.alias("a"), m.alias("m"), b.alias("b"), F.lit(left).alias("left"))
+    length, block = F.col("length"), F.col("block")
+    upto = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    own = F.transform(upto(F.col("blocks")), lambda o: F.struct(length.alias("l"), F.least(block, o).alias("a"), length.alias("m"), F.greatest(block, o).alias("b"), (block <= o).alias("left")))
+    up = F.transform(upto(F.col("longer")), lambda o: pair(length, block, length + 1, o, True))
+    down = F.transform(upto(F.col("shorter")), lambda o: pair(length - 1, o, length, block, False))
+    rows = rows.select("band", "value", "rep", "comp", F.explode(F.concat(own, up, down)).alias("p")).select("band", "value", "rep", "comp", "p.*")
+    return rows.join(texts, "rep").groupBy("band", "value", "l", "a", "m", "b").applyInArrow(_compare, "a long, b long")
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, class_id (the smallest doc_id of its class), kept (whether it is that document)."""
+    """One row per document: doc_id, class_id, kept (whether it is the one that stays), text_hash (xxHash64 of its text).
+
+    The one that stays has the smallest doc_id of the class, and of several texts of that doc_id the smallest hash.
+    """
     small_batches(docs.sparkSession)
-    sketched = staged(docs.select("doc_id", "text").mapInArrow(_sketch, _SKETCHED), "sketches")
-    reps = staged(sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketches").alias("sketches")), "representatives")
-    bands = reps.where("n > 0 AND rep IS NOT NULL").select("rep", F.posexplode("sketches").alias("band", "value"))
+    sketched = staged(docs.select("doc_id", _text_hash().alias("text_hash"), "text").mapInArrow(tidy(_sketch), _SKETCHED), "sketches")
+    holder = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("holder")
+    reps = sketched.groupBy("digest").agg(holder, F.first("n").alias("n"), F.first("sketches").alias("sketches"))
+    # the identifiers are unique, and fixed once written
+    reps = staged(reps.withColumn("rep", F.monotonically_increasing_id()), "representatives")
+    bands = reps.where("n > 0").select("rep", "n", F.posexplode("sketches").alias("band", "value"))
     buckets = bands.groupBy("band", "value").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = staged(buckets, "buckets")
-    members = staged(bands.join(buckets, ["band", "value"]), "members")
+    members = staged(bands.join(staged(buckets, "buckets"), ["band", "value"]), "members")
     pairs = staged(members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    texts = _texts(docs, members.select("rep").distinct())
+    texts = _texts(docs, reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "holder.doc_id", "holder.text_hash"))
 
     sides = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
     sides = sides.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
-    links = staged(sides.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"), "links")
+    links = staged(sides.select("a", "b", "text_a", "text_b").mapInArrow(tidy(_verify), "a long, b long"), "links")
     found = components(links)
 
-    placed = members.where("size > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    placed = staged(placed, "placed")
-    mixed = placed.groupBy("band", "value").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("same"), F.min("rep").alias("leader")).where("x <> y")
-    # buckets of the same members are compared once
-    mixed = staged(mixed.groupBy("size", "same", "leader").agg(F.min(F.struct("band", "value")).alias("k")).select("k.band", "k.value", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
-    if not mixed.isEmpty():
-        rows = placed.join(mixed, ["band", "value"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        rows = rows.select("band", "value", "rep", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        rows = rows.select("band", "value", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "comp").join(texts, "rep")
-        more = staged(rows.groupBy("band", "value", "low", "high").applyInArrow(_compare, "a long, b long"), "more-links")
-        if not more.isEmpty():
-            found = components(links.unionByName(more))
-    named = staged(reps.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("class_id")), "classes")
-    out = sketched.select("doc_id", "digest").join(named, "digest")
-    own = F.when(F.col("doc_id").isNotNull(), F.col("class_id"))
-    return out.select("doc_id", own.alias("class_id"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    placed = members.where("size > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = staged(placed.select("band", "value", "rep", "n", F.coalesce("comp", "rep").alias("comp")), "placed")
+    more = staged(_in_full(placed, texts), "more-links")
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
+    unstage(members, pairs, texts, placed)
+    named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "holder", F.coalesce("comp", "rep").alias("comp"))
+    named = staged(named, "named")
+    first = named.groupBy("comp").agg(F.min("holder").alias("stays"))
+    # staged: the join with the documents has a plain exchange on either side, so AQE may split a hot digest
+    named = staged(named.join(first, "comp").select("digest", "stays"), "classes")
+    out = sketched.drop("n", "sketches").join(named, "digest")
+    kept = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("text_hash") == F.col("stays.text_hash"))
+    return out.select("doc_id", F.col("stays.doc_id").alias("class_id"), kept.alias("kept"), "text_hash")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
