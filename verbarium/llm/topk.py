@@ -5,7 +5,7 @@ cosine threshold in each bucket: theta / (|query| * longest vector of the bucket
 Below it candidates are cut either by length (only those with |p| >= theta / |query| can reach theta) or, if the
 threshold is high enough for that to be sharper, by coordinates: a unit vector at cosine t or more to the query has
 its value in the query's largest coordinates inside known intervals. What is left is verified by exact integer
-products (below 2 ** 53, so double products are exact).
+products: in doubles where the lengths' product is under 2 ** 53, which bounds every partial sum, else in unbounded integers.
 
 Plan: a histogram of lengths in BINS steps a doubling gives the buckets of about BLOCK rows (a bin of more rows is dealt
 out by a hash of the identifier); a bucket and a block of QUERIES queries are packed into one binary row each.
@@ -15,7 +15,9 @@ best k. Scores equal to theta are kept, so ties go to the smaller vec_id. No res
 
 Edge cases: vectors null, or holding a null or non-finite component, take no part; vectors of another dimension than
 the query's are no candidates; fewer than k candidates give all; repeated vec_ids are candidates of each other's
-queries only under another vec_id; an empty table gives an empty result; extra columns are not read.
+queries only under another vec_id; a component whose 64-fold leaves the range of doubles counts as the largest double;
+a score beyond the range of a long is given, and ranked, as the nearest long; an empty table gives an empty result; extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -27,18 +29,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbarium.llm.common import small_batches, staged, table
+from verbarium.llm.common import small_batches, staged, table, tidy
 
 K = 20
 SCALE = 64
 #: Candidates in a bucket, queries in a block.
-BLOCK, QUERIES = 4096, 1024
+BLOCK, QUERIES = 4096, 2048
 #: Histogram bins per doubling of the squared length: neighbours in a bin differ by 0.3 % in squared length.
 BINS = 256
 #: From this local cosine threshold on, coordinates prune.
 SHARP = 0.6
 #: Coordinates looked at.
 FOCUS = 3
+#: Products of lengths under which double arithmetic is exact, and the largest long and double.
+EXACT, LONG, DOUBLE = 2.0**53, (1 << 63) - 1, 1.7976931348623157e308
+
+
+def _scaled(c: Column) -> Column:
+    wide = F.greatest(F.least(SCALE * c.cast("double"), F.lit(DOUBLE)), F.lit(-DOUBLE))
+    return F.when(F.abs(wide) < EXACT, F.floor(F.when(F.abs(wide) < EXACT, wide).otherwise(0.0)).cast("double")).otherwise(wide)
 
 
 def integers(vectors: DataFrame) -> DataFrame:
@@ -46,22 +55,41 @@ def integers(vectors: DataFrame) -> DataFrame:
     x = F.col("embedding")
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     out = vectors.where(x.isNotNull() & F.col("vec_id").isNotNull()).where(~bad)
-    out = out.select("vec_id", F.size(x).alias("dim"), F.transform(x, lambda c: F.floor(SCALE * c.cast("double")).cast("double")).alias("v"))
+    out = out.select("vec_id", F.size(x).alias("dim"), F.transform(x, _scaled).alias("v"))
     return out.withColumn("n2", F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))
 
 
 def _pack(key: tuple, rows: pa.Table) -> pa.Table:
-    """One row from the rows of a block: identifiers and matrix as bytes, longest first."""
+    """One row from the rows of a block: identifiers and matrix as bytes, longest first, and the longest's length."""
     n2 = rows.column("n2").to_numpy()
     order = np.lexsort((rows.column("vec_id").to_numpy(), -n2))
     ids = rows.column("vec_id").to_numpy()[order].astype(np.int64)
     dim = key[0].as_py()
     flat = rows.column("v").combine_chunks()
     matrix = np.asarray(flat.flatten(), np.float64).reshape(-1, dim)[order] if dim else np.zeros((len(ids), 0))
-    return pa.table({"dim": pa.array([dim], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "m": pa.array([matrix.tobytes()], pa.binary())})
+    most = np.abs(matrix).max(initial=0.0)
+    kind = "i2" if most < 1 << 15 else "i4" if most < 1 << 31 else "f8"
+    columns = {
+        "dim": pa.array([dim], pa.int32()),
+        "block": pa.array([key[1].as_py()], pa.int32()),
+        "longest": pa.array([float(np.sqrt(n2.max(initial=0.0)))], pa.float64()),
+        "ids": pa.array([ids.tobytes()], pa.binary()),
+        "kind": pa.array([kind], pa.string()),
+        "m": pa.array([matrix.astype(kind).tobytes()], pa.binary()),
+    }
+    return pa.table(columns)
+
+
+_PACKED = "dim int, block int, longest double, ids binary, kind string, m binary"
 
 
-_PACKED = "dim int, block int, ids binary, m binary"
+def _products(m: np.ndarray, q: np.ndarray, bound: float) -> np.ndarray:
+    """Exact inner products of the rows of m with q, held to the range of a long; bound is the product of the lengths."""
+    if bound < EXACT:
+        return m @ q
+    whole = [int(x) for x in q.tolist()]
+    found = [max(-LONG, min(LONG, sum(int(a) * b for a, b in zip(row, whole, strict=True)))) for row in m.tolist()]
+    return np.array(found, np.int64)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -80,15 +108,16 @@ def _search(k: int):
             for row in batch.to_pylist():
                 dim = row["dim"]
                 qids = np.frombuffer(row["q_ids"], np.int64)
-                ids, q = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_m"]).reshape(len(qids), dim)
-                m = np.frombuffer(row["m"]).reshape(len(ids), dim)
+                ids, q = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_m"], row["q_kind"]).astype(float).reshape(len(qids), dim)
+                m = np.frombuffer(row["m"], row["kind"]).astype(float).reshape(len(ids), dim)
                 theta = np.frombuffer(row["theta"]) if row["theta"] is not None else np.full(len(qids), -np.inf)
-                norms, qn = np.sqrt((m * m).sum(1)), np.sqrt((q * q).sum(1))
-                unit = m / np.maximum(norms, 1e-300)[:, None]
+                with np.errstate(over="ignore"):
+                    norms, qn = np.sqrt((m * m).sum(1)), np.sqrt((q * q).sum(1))
+                    unit = m / np.maximum(norms, 1e-300)[:, None]
                 out_q, out_id, out_s, bar = [], [], [], theta.copy()
                 for j in range(len(qids)):
-                    some = slice(0, len(ids))
-                    if theta[j] > 0:
+                    some, bound = slice(0, len(ids)), float(qn[j] * norms[0]) if qn[j] else 0.0
+                    if theta[j] > 0 and bound < EXACT:
                         if qn[j] * norms[0] * (1 + 1e-9) < theta[j]:
                             continue  # the whole bucket is too short
                         end = int(np.searchsorted(-norms, -theta[j] / qn[j] * (1 - 1e-9), "right"))
@@ -96,16 +125,19 @@ def _search(k: int):
                         local = theta[j] / (qn[j] * norms[0])
                         if local >= SHARP:
                             some = _near(unit[:end], q[j] / qn[j], min(local, 1.0) * (1 - 1e-9))
-                    scores, own = m[some] @ q[j], ids[some]
+                    scores, own = _products(m[some], q[j], bound), ids[some]
                     keep = np.flatnonzero((own != qids[j]) & (scores >= theta[j]))
                     best = keep[_best(scores[keep], own[keep], k)]
                     if len(best) == k:
-                        bar[j] = scores[best[-1]]
+                        bar[j] = scores[best[-1]] if bound < EXACT else np.nextafter(float(scores[best[-1]]), -np.inf)
                     out_q.append(np.full(len(best), qids[j]))
                     out_id.append(own[best])
                     out_s.append(scores[best].astype(np.int64))
                 lists = [pa.array([np.concatenate(x) if x else np.zeros(0, np.int64)], pa.list_(pa.int64())) for x in (out_q, out_id, out_s)]
-                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([row["q_block"]], pa.int32()), pa.array([bar.tobytes()], pa.binary()), *lists], names=["dim", "q_block", "theta", "query_id", "vec_id", "score"])
+                # the length that a vector needs to be a result of any query here
+                least = float(np.where(bar > 0, bar / np.maximum(qn, 1e-300), 0.0).min(initial=np.inf))
+                head = [pa.array([dim], pa.int32()), pa.array([row["q_block"]], pa.int32()), pa.array([bar.tobytes()], pa.binary()), pa.array([least], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*head, *lists], names=["dim", "q_block", "theta", "least", "query_id", "vec_id", "score"])
 
     return run
 
@@ -121,7 +153,7 @@ def _near(unit: np.ndarray, q: np.ndarray, t: float) -> np.ndarray:
     return np.flatnonzero(keep)
 
 
-_FOUND = "dim int, q_block int, theta binary, query_id array<long>, vec_id array<long>, score array<long>"
+_FOUND = "dim int, q_block int, theta binary, least double, query_id array<long>, vec_id array<long>, score array<long>"
 
 
 def buckets(rows: DataFrame, size: int = BLOCK) -> DataFrame:
@@ -131,7 +163,7 @@ def buckets(rows: DataFrame, size: int = BLOCK) -> DataFrame:
     whatever the input; running counts cut the bins into blocks, and a bin with more rows than a block is dealt out over
     several by a hash of the identifier. Bounds on a block use its own longest vector, so bins need not be exact.
     """
-    rows = rows.withColumn("bin", F.floor(F.log2(F.col("n2") + 1) * BINS).cast("int"))
+    rows = rows.withColumn("bin", F.floor(F.least(F.log2(F.col("n2") + 1), F.lit(2048.0)) * BINS).cast("int"))
     counts = rows.groupBy("dim", "bin").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("dim").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
     cut = counts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
@@ -150,14 +182,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, size: int = BLOCK) -
     asked = rows.where(is_query)
     q_block = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-asked.count() // QUERIES)))).cast("int")
     asked = asked.withColumn("block", q_block).groupBy("dim", "block").applyInArrow(_pack, _PACKED)
-    asked = staged(asked.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m")), "questions")
+    asked = staged(asked.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("kind").alias("q_kind"), F.col("m").alias("q_m")), "questions")
 
+    columns = ["dim", "q_block", "q_ids", "q_kind", "q_m", "ids", "kind", "m", "theta"]
     first = asked.withColumn("block", F.lit(0)).join(packed, ["dim", "block"]).withColumn("theta", F.lit(None).cast("binary"))
-    found = staged(first.mapInArrow(_search(k), _FOUND), "found")
-    more = packed.groupBy("dim").agg(F.max("block").alias("top")).where("top > 0")
-    under = asked.join(found.select("dim", "q_block", "theta"), ["dim", "q_block"], "left").join(more, "dim")
-    under = under.withColumn("block", F.expr("explode(sequence(1, top))")).join(packed, ["dim", "block"])
-    rest = under.select(*first.columns).mapInArrow(_search(k), _FOUND)
+    found = staged(first.select(*columns).mapInArrow(tidy(_search(k)), _FOUND), "found")
+    # which block of queries has to meet which bucket: numbers only, before the matrices move
+    bounds = packed.where("block > 0").select("dim", "block", "longest")
+    meet = found.select("dim", "q_block", "theta", "least").join(bounds, "dim").where(F.col("longest") * (1 + 1e-9) >= F.col("least"))
+    under = asked.join(meet.select("dim", "q_block", "block", "theta"), ["dim", "q_block"]).join(packed, ["dim", "block"])
+    rest = under.select(*columns).mapInArrow(tidy(_search(k)), _FOUND)
     each = found.unionByName(rest).select(F.inline(F.arrays_zip("query_id", "vec_id", "score")))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
