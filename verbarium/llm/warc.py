@@ -10,8 +10,10 @@ WARC files are written by Spark's text writer with CRLF CRLF as the line end: th
 record, so the part files are valid WARC files, written by executors to any file system Spark can write to, with
 its commit protocol. They are read back as whole binary files of bounded size and parsed by declared length.
 
-Edge cases: a null html is the empty payload; a null or blank url is written as ``urn:unknown`` (spaces in urls are
-percent-encoded, since ARC separates fields by spaces); repeated rows with the smallest page_id of their payload are
+Edge cases: a null html is the empty payload; a null or blank url is written as ``urn:unknown``; white space and control
+characters in urls are percent-encoded, since ARC separates fields by spaces and headers end at line ends; a row with a
+null page_id gets a record identifier of its own kind (a version 4 UUID from its url and digest), is read back as null, and is
+a response unless a page with an identifier has its payload; repeated rows with the smallest page_id of their payload are
 all responses; an empty table gives an empty result; extra columns are not read.
 """
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbarium.llm.common import shared_dir, small_batches, staged, table
+from verbarium.llm.common import shared_dir, small_batches, staged, table, tidy
 
 #: Fixed values of the two ARC versions: the fields of a record's header line.
 ARC_FIELDS = {
@@ -35,6 +38,7 @@ ARC_FIELDS = {
     2: ("url", "ip", "date", "type", "result", "checksum", "location", "offset", "filename", "length"),
 }
 CRLF = b"\r\n"
+_UNSAFE = re.compile(r"[\x00-\x20\x7f-\x9f\s]")
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records in a WARC file, which bounds what a reader holds at a time.
 #: (payload bytes below, records in a file at most): a file holds about 64 MB, or one record beyond that.
@@ -55,8 +59,13 @@ class ArcRecord:
         return (self.content, b"") if at < 0 else (self.content[: at + 4], self.content[at + 4 :])
 
 
+def escaped(field: str) -> str:
+    """A header field with white space and control characters percent-encoded."""
+    return _UNSAFE.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode("utf-8", "surrogatepass")), field)
+
+
 def arc_header(version: int, **fields: str) -> bytes:
-    return (" ".join(str(fields.get(name) or "-").replace(" ", "%20") for name in ARC_FIELDS[version]) + "\n").encode()
+    return (" ".join(escaped(str(fields.get(name) or "-")) for name in ARC_FIELDS[version]) + "\n").encode("utf-8", "surrogatepass")
 
 
 def arc_archive(version: int, date: str, records: list[tuple[dict, bytes]], name: str = "part.arc") -> bytes:
@@ -94,14 +103,19 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
         yield ArcRecord(version, dict(zip(ARC_FIELDS[version], parts, strict=True)), content)
 
 
-def record_id(page_id: int) -> str:
-    """A version 8 UUID that holds the identifier's 64 bits."""
+def record_id(page_id: int | None, nameless: bytes = b"") -> str:
+    """A version 8 UUID that holds the identifier's 64 bits; without one, a version 4 UUID from what tells the record apart."""
+    if page_id is None:
+        return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(nameless).digest()[:16], version=4)}>"
     n = page_id & 0xFFFFFFFFFFFFFFFF
     return f"<urn:uuid:{uuid.UUID(int=(0x7665726261 << 80) | (0x8 << 76) | ((n >> 62) << 64) | (0x2 << 62) | (n & ((1 << 62) - 1)))}>"
 
 
-def page_of(identifier: str) -> int:
-    n = uuid.UUID(identifier.strip("<>").removeprefix("urn:uuid:")).int
+def page_of(identifier: str) -> int | None:
+    found = uuid.UUID(identifier.strip("<>").removeprefix("urn:uuid:"))
+    if found.version != 8:
+        return None
+    n = found.int
     value = (((n >> 64) & 0x3) << 62) | (n & ((1 << 62) - 1))
     return value - (1 << 64) if value >> 63 else value
 
@@ -115,13 +129,14 @@ def warc_date(arc_date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def to_warc(record: ArcRecord, page_id: int, refers_to: int | None) -> bytes:
+def to_warc(record: ArcRecord, page_id: int | None, refers_to: int | None) -> bytes:
     """A WARC record without the CRLF CRLF that ends it: a response, or a revisit of the response of refers_to."""
     head, body = record.http()
     block = head if refers_to is not None else record.content
+    nameless = record.fields["url"].encode("utf-8", "surrogateescape") + hashlib.sha256(body).digest() if page_id is None else b""
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", record_id(page_id)),
+        ("WARC-Record-ID", record_id(page_id, nameless)),
         ("WARC-Date", warc_date(record.fields["date"])),
         ("WARC-Target-URI", record.fields["url"]),
         ("WARC-IP-Address", record.fields["ip"]),
@@ -194,11 +209,12 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     slim = staged(slim, "payloads")
     firsts = slim.groupBy("key", "n").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("rows"))
     firsts = staged(firsts.where("rows > 1").drop("rows"), "first-payloads")
-    again = staged(slim.join(firsts, ["key", "n"]).where("page_id <> first").select("page_id", "key", F.col("first").alias("refers_to")).distinct(), "revisits")
+    again = staged(slim.join(firsts, ["key", "n"]).where("NOT page_id <=> first").select("page_id", "key", F.col("first").alias("refers_to")).distinct(), "revisits")
     if again.count() <= BROADCAST_ROWS:
         again = F.broadcast(again)
     rows = pages.select("page_id", "url", "html", F.unhex(F.sha2(html, 256)).alias("key"))
-    return rows.join(again, ["page_id", "key"], "left").select("page_id", "url", "html", "refers_to")
+    own = rows["page_id"].eqNullSafe(again["page_id"]) & (rows["key"] == again["key"])
+    return rows.join(again, own, "left").select(rows["page_id"], "url", "html", "refers_to")
 
 
 def write_warc(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
@@ -213,7 +229,7 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     for high, records in FILE_CLASSES:
         if low and (there is None or there < low):
             break  # no payload is that large
-        some = known.where((size >= low) & (size < high)).mapInArrow(_convert, "record binary")
+        some = known.where((size >= low) & (size < high)).mapInArrow(tidy(_convert), "record binary")
         some.select(F.col("record").cast("string").alias("value")).write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records).text(path)
         low = high
 
@@ -222,7 +238,7 @@ def read_warc(spark, path: str) -> DataFrame:
     """One row per record of the WARC files under path."""
     small_batches(spark)  # a row is a whole file: a batch ends at 8 MB
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_read, _READ)
+    return files.mapInArrow(tidy(_read), _READ)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
