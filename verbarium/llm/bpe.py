@@ -29,10 +29,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from verbarium.llm.common import small_batches, table, tidy
+from verbarium.llm.common import kept, small_batches, table, tidy
 
-#: Entries that a task keeps: pieces with their tokens, states of the transducer, border tests (about 100 MB in all).
-PIECES, STATES, BORDERS = 200_000, 60_000, 150_000
+#: Entries that a worker keeps for a stage: pieces with their tokens, states of the transducer, border tests (about 120 MB).
+PIECES, STATES, BORDERS = 300_000, 100_000, 250_000
 #: Bytes after which a long piece's certain tokens leave the transducer.
 FLUSH = 4096
 
@@ -270,13 +270,13 @@ class Encoder:
 
 @lru_cache(maxsize=4)
 def encoder(path: str, pattern: str) -> Encoder:
-    """One per process and vocabulary. Tasks make their own, which goes when they end."""
+    """One per process and vocabulary. Tasks make their own, which goes with their stage."""
     return Encoder(path, pattern)
 
 
 def _digests(path: str, pattern: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Encoder(path, pattern)
+        e = kept((path, pattern), lambda: Encoder(path, pattern))
         names = {i: str(i) for i in e.v.bytes}
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
@@ -298,7 +298,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches):
-        e = Encoder(path, pattern)
+        e = kept((path, pattern), lambda: Encoder(path, pattern))
         for batch in batches:
             ids = [e.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
@@ -310,7 +310,7 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     """tokens (doc_id, ids) -> doc_id, text; bytes that are no UTF-8 become U+FFFD."""
 
     def run(batches):
-        e = Encoder(path, pattern)
+        e = kept((path, pattern), lambda: Encoder(path, pattern))
         for batch in batches:
             texts = ["".join(e.decode_stream(ids or [])) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])

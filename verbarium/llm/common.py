@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +88,7 @@ def tidy(batches: Callable) -> Callable:
     """An Arrow function that gives its memory back to the system when a partition ends, as workers are used again."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _of_stage()
         try:
             yield from batches(rows)
         finally:
@@ -95,6 +97,28 @@ def tidy(batches: Callable) -> Callable:
     return run
 
 
+#: What tasks of one stage leave for each other in a worker: the stage, and values by key.
+_KEPT: dict = {"stage": None, "values": {}}
+
+
+def _of_stage() -> dict:
+    """The values that this worker keeps for the running stage; those of an earlier stage are dropped."""
+    context = TaskContext.get()
+    stage = context.stageId() if context else None
+    if _KEPT["stage"] != stage:
+        _KEPT.update(stage=stage, values={})
+        release()
+    return _KEPT["values"]
+
+
+def kept(key: tuple, make: Callable):
+    """make(), once for the tasks of a stage in this worker, until a task of another stage runs in it."""
+    values = _of_stage()
+    if key not in values:
+        values[key] = make()
+    return values[key]
+
+
 def release() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()

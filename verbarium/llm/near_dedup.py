@@ -20,9 +20,9 @@ identifier of its own; (3) in each bucket of equal sketches pair the members wit
 (4) verify; (5) components by alternating large-star and small-star; (6) buckets whose members are still in several
 components are compared in full: members go by classes of lengths (only texts whose lengths differ by SIMILARITY at
 most can match, so a class meets itself and the next one), in pairs of blocks of at most BLOCK texts and BLOCK_WORDS words,
-where only pairs of different components with enough common k-mers are aligned and only links that join components
-leave the task. So a bucket of n texts that are alike costs n pairs, and no candidate pair is lost in one of texts that
-are not; that one costs the pairs of like length, as dense products in its tasks.
+where a prefix filter on words finds the pairs of different components to align, each in the first band whose bucket
+holds both, and only links that join components leave the task. So a bucket of n texts that are alike costs n pairs, and no candidate pair is lost in one of texts that
+are not; that one costs its pairs of blocks of like length.
 
 Edge cases: null counts as empty; a text of fewer than K words has one k-mer, all its words; texts without words are
 copies of each other; rows with one doc_id and different texts are documents of their own (text_hash tells them apart);
@@ -48,7 +48,7 @@ from verbarium.llm.quality import _spans, run_hashes
 K, SIMILARITY = 5, 0.8
 SKETCHES, ELL = 32, 3
 #: Texts of a bucket that one side of a comparison in full holds at most, and words of them.
-BLOCK, BLOCK_WORDS = 400, 1_000_000
+BLOCK, BLOCK_WORDS = 1500, 1_000_000
 #: Candidates' ids up to this number (8 MB) are broadcast to filter texts; beyond it the texts are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Hash values that a sketch looks at per text on average; a text with fewer than ELL among them is looked at wholly.
@@ -80,15 +80,29 @@ def kmers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     for j in range(K):
         mixed += np.where(at + j < first[own + 1], padded[np.minimum(at + j, len(padded) - 1)], np.uint64(j)) * _WEIGHTS[j]
     mixed = mix64(mixed)
-    # occurrence numbers: equal k-mers of one text, in text order
-    together = mixed + mix64(own.astype(np.uint64) + np.uint64(1))
+    return labelled(mixed, own), own, count, many, digests
+
+
+def labelled(values: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """values, those that a text has several times mixed with their occurrence number in text order."""
+    together = values + mix64(own.astype(np.uint64) + np.uint64(1))
     order = np.argsort(together, kind="stable")
     new = np.ones(len(order), bool)
     new[1:] = together[order][1:] != together[order][:-1]
     run = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
     number = np.empty(len(order), np.uint64)
     number[order] = run.astype(np.uint64)
-    return np.where(number > 0, mix64(mixed + number * np.uint64(0x9FB21C651E98DF25)), mixed), own, count, many, digests
+    return np.where(number > 0, mix64(values + number * np.uint64(0x9FB21C651E98DF25)), values)
+
+
+def words_of(texts: list[str | None]) -> list[np.ndarray]:
+    """Labelled words of each text."""
+    out = []
+    for _, _, data, offsets in text_slices(lowered(pa.array(texts, pa.string())), "text"):
+        starts, ends, own = _spans(_SEPARATES[data], offsets)
+        many = np.bincount(own, minlength=len(offsets) - 1)
+        out += np.split(labelled(run_hashes(data, starts, ends), own), np.cumsum(many)[:-1])
+    return out
 
 
 def sketches(keys: np.ndarray, own: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -222,40 +236,83 @@ def _compare(group: pa.Table) -> pa.Table:
     left = np.asarray(group["left"])
     n, out_a, out_b = len(reps), [], []
     if len(set(comps)) > 1:
-        keys = keys_of(group["text"].to_pylist())
+        texts = group["text"].to_pylist()
         joined, first = Joined(n), {}
         for i, c in enumerate(comps):
             joined.join(first.setdefault(c, i), i)
-        need = SIMILARITY / (1 + SIMILARITY) / K * np.array([words for _, words in keys])
-        may = _common(keys) >= need[:, None] + need[None, :] - 1e-3
-        if not left.all():  # two blocks: pairs within either belong to other tasks
-            may &= left[:, None] != left[None, :]
-        for i, j in np.argwhere(np.triu(may, 1)).tolist():
-            if joined.root(i) != joined.root(j) and similarity(keys[i], keys[j]) >= SIMILARITY:
-                joined.join(i, j)
-                out_a.append(reps[i])
-                out_b.append(reps[j])
+        own = np.unique(comps, return_inverse=True)[1]
+        pairs = _candidates(words_of(texts), own, None if left.all() else left)
+        # a pair that shares an earlier band's sketch too is compared in that band's bucket
+        before = np.asarray(group["sketches"].combine_chunks().flatten()).reshape(n, SKETCHES)[:, : group["band"][0].as_py()]
+        again = np.concatenate([(before[x[:, 0]] == before[x[:, 1]]).any(1) for x in np.array_split(pairs, len(pairs) // 100_000 + 1)])
+        if not again.all():
+            keys = keys_of(texts)
+            for i, j in _covered(pairs[~again], keys).tolist():
+                if joined.root(i) != joined.root(j) and similarity(keys[i], keys[j]) >= SIMILARITY:
+                    joined.join(i, j)
+                    out_a.append(reps[i])
+                    out_b.append(reps[j])
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
-def _common(keys: list[tuple[np.ndarray, int]]) -> np.ndarray:
-    """Number of common labelled k-mers of each pair, as dense products of 4096 k-mers at a time."""
-    n = len(keys)
+def _candidates(words: list[np.ndarray], comps: np.ndarray, left: np.ndarray | None) -> np.ndarray:
+    """Pairs (i < j) of different components that may be at SIMILARITY, by a prefix filter on labelled words.
+
+    Aligned words are common words, of which a match has SIMILARITY of either text at least. So with all words in one order,
+    rare ones first, two that match have a word in common among the first n (1 - SIMILARITY) + 1 of both.
+    """
+    n = len(words)
+    sizes = np.array([len(w) for w in words])
+    _, place, df = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+    rank = np.empty(len(df), np.int64)
+    rank[np.argsort(df, kind="stable")] = np.arange(len(df))
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.lexsort((rank[place], owner))
+    owner, place = owner[order], place[order]
+    at = np.arange(len(owner)) - np.append(0, np.cumsum(sizes))[owner]
+    head = (at < sizes[owner] - np.ceil(SIMILARITY * sizes[owner] - 1e-9) + 1) & (df[place] > 1)
+    owner, place = owner[head], place[head]
+    order = np.lexsort((comps[owner], place))
+    owner, place = owner[order], place[order]
+    starts = np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(place)])
+    ends = np.append(starts[1:], len(place))
+    several = comps[owner[starts]] != comps[owner[ends - 1]] if len(starts) else np.zeros(0, bool)
+    may = np.zeros((n, n), bool)
+    for start, end in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
+        members = owner[start:end]
+        may[members[:, None], members] = True
+    may &= comps[:, None] != comps
+    if left is not None:  # two blocks: pairs within either belong to other tasks
+        may &= left[:, None] != left
+    return np.argwhere(np.triu(may, 1))
+
+
+def _covered(pairs: np.ndarray, keys: list[tuple[np.ndarray, int]]) -> np.ndarray:
+    """Those of the pairs (sorted) where common k-mers, in whatever order, cover as many words as SIMILARITY needs."""
     flat = np.concatenate([k for k, _ in keys])
     _, place, df = np.unique(flat, return_inverse=True, return_counts=True)
-    column = np.cumsum(df > 1) - 1
-    owner = np.repeat(np.arange(n), [len(k) for k, _ in keys])
-    shared = df[place] > 1
-    owner, place = owner[shared], column[place[shared]]
-    order = np.argsort(place, kind="stable")
-    owner, place = owner[order], place[order]
-    both = np.zeros((n, n), np.float32)
-    for at in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
-        lo, hi = np.searchsorted(place, [at, at + 4096])
-        x = np.zeros((n, 4096), np.float32)
-        x[owner[lo:hi], place[lo:hi] - at] = 1
-        both += x @ x.T
-    return both
+    column = np.where(df > 1, np.cumsum(df > 1) - 1, -1)[place]
+    counts = [len(k) for k, _ in keys]
+    columns = np.split(column, np.cumsum(counts)[:-1])
+    bits = np.zeros((len(keys), (int(column.max(initial=0)) >> 3) + 1), np.uint8)
+    some = column >= 0
+    np.bitwise_or.at(bits, (np.repeat(np.arange(len(keys)), counts)[some], column[some] >> 3), (1 << (column[some] & 7)).astype(np.uint8))
+    sizes = np.array([n for _, n in keys])
+    good = np.zeros(len(pairs), bool)
+    starts = np.flatnonzero(np.append(True, np.diff(pairs[:, 0]) != 0)[: len(pairs)])
+    for start, end in zip(starts.tolist(), np.append(starts[1:], len(pairs)).tolist(), strict=True):
+        i = pairs[start, 0]
+        own, n = columns[i], sizes[i]
+        step = max(1, (4 << 20) // max(n, 1))
+        for at in range(start, end, step):
+            j = pairs[at : min(at + step, end), 1]
+            hit = (bits[j[:, None], own >> 3] >> (own & 7).astype(np.uint8)) & (own >= 0)
+            words = np.zeros((len(j), len(own) + K - 1), bool)
+            for k in range(K):
+                words[:, k : k + len(own)] |= hit.astype(bool)
+            covered = np.minimum(words.sum(1), n)
+            good[at : at + len(j)] = covered >= SIMILARITY / (1 + SIMILARITY) * (n + sizes[j]) - 1e-6
+    return pairs[good]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -297,11 +354,14 @@ def _text_hash():
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def _in_full(placed: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between components, from the buckets whose members placed (band, value, rep, n, comp) are in several."""
+def _in_full(placed: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (a, b) between components, from the buckets whose members placed (band, value, rep, n, comp) are in several.
+
+    texts has rep and text, reps has rep and sketches.
+    """
     same = F.sum(F.xxhash64("rep").cast("decimal(38,0)"))
     mixed = placed.groupBy("band", "value").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size"), same.alias("same"), F.min("rep").alias("leader")).where("x <> y")
-    # buckets of the same members are compared once
+    # buckets of the same members are compared once, in the first band
     mixed = mixed.groupBy("size", "same", "leader").agg(F.min(F.struct("band", "value")).alias("k")).select("k.*")
     rows = staged(placed.join(mixed, ["band", "value"]).withColumn("length", F.floor(F.log("n") / -math.log(SIMILARITY) + 1e-9).cast("int")), "mixed")
     most = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(BLOCK_WORDS / F.max("n")).cast("int")))
@@ -317,8 +377,9 @@ def _in_full(placed: DataFrame, texts: DataFrame) -> DataFrame:
     own = F.transform(upto(F.col("blocks")), lambda o: F.struct(length.alias("l"), F.least(block, o).alias("a"), length.alias("m"), F.greatest(block, o).alias("b"), (block <= o).alias("left")))
     up = F.transform(upto(F.col("longer")), lambda o: pair(length, block, length + 1, o, True))
     down = F.transform(upto(F.col("shorter")), lambda o: pair(length - 1, o, length, block, False))
-    rows = rows.select("band", "value", "rep", "comp", F.explode(F.concat(own, up, down)).alias("p")).select("band", "value", "rep", "comp", "p.*")
-    return rows.join(texts, "rep").groupBy("band", "value", "l", "a", "m", "b").applyInArrow(_compare, "a long, b long")
+    rows = rows.join(reps.select("rep", "sketches"), "rep")
+    rows = rows.select("band", "value", "rep", "comp", "sketches", F.explode(F.concat(own, up, down)).alias("p"))
+    return rows.select("band", "value", "rep", "comp", "sketches", "p.*").join(texts, "rep").groupBy("band", "value", "l", "a", "m", "b").applyInArrow(_compare, "a long, b long")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -345,7 +406,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
     placed = members.where("size > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     placed = staged(placed.select("band", "value", "rep", "n", F.coalesce("comp", "rep").alias("comp")), "placed")
-    more = staged(_in_full(placed, texts), "more-links")
+    more = staged(_in_full(placed, texts, reps), "more-links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
     unstage(members, pairs, texts, placed)
