@@ -230,8 +230,8 @@ def test_whole_coding_table_reads_all_events(spark):
 
     db = duckdb.connect()
     db.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
-    got = agreement.QUERIES["qual_table_whole"](spark, SF).toPandas()
-    assert normal(got).equals(normal(db.execute(agreement.ORACLES["qual_table_whole"]).df()))
+    got = agreement.QUERIES["qual_table"](spark, SF).toPandas()
+    assert normal(got).equals(normal(db.execute(agreement.ORACLES["qual_table"]).df()))
     assert len(got) == 342 and set(got.ambiguous_units) == {121}
 
 
@@ -252,7 +252,7 @@ def test_fisher_and_adjustment_take_rare_terms(spark, tmp_path):
     texts = [(i, ("the cat" if i % 2 else "the der") + (f" rare{i}" if i < 6 else ""), "en" if i % 3 else "de") for i in range(24)]
     docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.term: r for r in comparison.QUERIES["fisher_whole"](spark, str(tmp_path)).collect()}
+    got = {r.term: r for r in comparison.QUERIES["fisher"](spark, str(tmp_path)).collect()}
     count = {t: [sum(t in x.split() and y == g for _, x, y in texts) for g in ("en", "de")] for t in {t for _, x, _ in texts for t in x.split()}}
     assert set(got) == set(count) and len(count) == 9
     for t, (a, b) in count.items():
@@ -262,7 +262,7 @@ def test_fisher_and_adjustment_take_rare_terms(spark, tmp_path):
     for rank in range(len(order), 0, -1):
         low = min(low, len(p) * p[order[rank - 1]] / rank)
         want[order[rank - 1]] = low
-    out = {r.term: r for r in comparison.adjusted_whole(docs).collect()}
+    out = {r.term: r for r in comparison.adjusted(docs).collect()}
     assert {t: r.bh for t, r in out.items()} == pytest.approx(want, abs=1e-6)
     assert {t: r.bonferroni for t, r in out.items()} == pytest.approx({t: min(1, len(p) * v) for t, v in p.items()}, abs=1e-6)
 
@@ -284,3 +284,47 @@ def test_multivariate_rows_are_documents(spark):
     assert np.allclose(inertia, want["inertia"]) and [r.doc_id for r in rows] == [0, 1, 2, 3, 4, 5] and np.allclose([r["at"] for r in rows], want["rows"][:, :2])
     points = spark.createDataFrame([(i, [float(v), 0.0]) for i, v in enumerate((0.0, 10, 1, 11, 30))], "doc_id long, v array<double>")
     assert [r.cluster for r in multivariate.document_kmeans(points, 2, 3).orderBy("doc_id").collect()] == [0, 1, 0, 1, 2]
+
+
+def test_undefined_measures_are_null(spark):
+    one = spark.createDataFrame([(1, "a b a", "en", "x"), (2, None, "en", "x")], "doc_id long, text string, lang string, source string")
+    r = comparison.corpus_similarity(one).first()
+    assert r.cosine is None and r.js_div is None and r.jaccard == 0
+    assert {x.direction for x in comparison.keyness_stats(one).collect()} == {"equal"}
+    assert comparison.corpus_similarity(one.limit(0)).first().weighted_jaccard is None
+    assert comparison.contingency(one, "lang", "source").first().residual is None
+    assert comparison.association(one, "lang", "source").first().cramers_v is None
+    assert comparison.monte_carlo([[3, 0], [5, 0]]) == 1.0
+    sample = spark.createDataFrame([("a", 1.0), ("a", 2.0)], "g string, v double")
+    same = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 1.0), ("b", 1.0)], "g string, v double")
+    for f in (statistics.welch, statistics.anova, statistics.mann_whitney, statistics.kruskal):
+        for x in (sample, same, sample.limit(0)):
+            assert set(f(x).first()) == {None}
+    assert set(statistics.one_sample(sample.limit(0)).first()) == {None}
+
+
+def test_window_pairs_match_brute_force(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcde") for _ in range(rng.randint(0, 30))) for _ in range(20)] + [None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for left, right in ((4, 4), (1, 3), (2, 0)):
+        want = Counter()
+        for t in texts:
+            w = (t or "").split()
+            for i, node in enumerate(w):
+                for j in range(max(0, i - left), min(len(w), i + right + 1)):
+                    if w[j] != node:
+                        want[node, w[j]] += 1
+        got = {(r.node, r.collocate): r.joint for r in cooccurrence.window_pairs(docs, left, right).collect()}
+        assert got == want
+
+
+def test_pagerank_and_components_of_a_small_graph(spark):
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "a", 1.0), ("d", "e", 1.0)], "src string, dst string, weight double")
+    ranks = {r.id: r["rank"] for r in networks.pagerank(edges, 30).collect()}
+    assert sum(ranks.values()) == pytest.approx(1, abs=1e-5) and ranks["a"] == pytest.approx(ranks["b"], abs=1e-5)
+    assert {r.id: r.comp for r in networks.weak_components(edges).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d"}
+    assert networks.pagerank(edges.limit(0)).count() == 0

@@ -6,6 +6,10 @@ aggregates. Fixed value: the lexical token pattern (words with inner apostrophes
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +65,22 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder and read from there: its plan starts anew, in files that outlive any executor.
+
+    The folder is spark.checkpoint.dir; in local mode an own one is set where that is unset, a cluster without one raises.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.match(r"local(\[|$)", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = f"file://{tempfile.gettempdir()}/verbarium-{os.getpid()}"
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def round6(column: Column | str) -> Column:
     return F.round(F.col(column) if isinstance(column, str) else column, 6)
 

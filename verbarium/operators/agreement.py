@@ -125,8 +125,7 @@ def _level(level: str):
 QUERIES = {
     "cohen_kappa": lambda s, sf: cohen(_labels(s, sf)), "fleiss_kappa": lambda s, sf: fleiss(_labels(s, sf)), "kripp_nominal": _level("nominal"), "kripp_interval": _level("interval"), "kripp_ratio": _level("ratio"), "kripp_ordinal": _level("ordinal"),
     "kripp_ci": lambda s, sf: s.createDataFrame([krippendorff_interval(_labels(s, sf))], "low double, high double"), "coding_agreement": lambda s, sf: cohen(_labels(s, sf)).crossJoin(fleiss(_labels(s, sf)).withColumnRenamed("kappa", "fleiss")).crossJoin(krippendorff(_labels(s, sf))),
-    "qual_fold": lambda s, sf: fold(event_log(s, sf)), "qual_table": lambda s, sf: agreement_table(event_log(s, sf).where("seq < 400")),
-    "qual_table_whole": lambda s, sf: agreement_counted(daily_log(s, sf)),
+    "qual_fold": lambda s, sf: fold(event_log(s, sf)), "qual_table": lambda s, sf: agreement_counted(daily_log(s, sf)),
 }
 _R = "WITH r AS (SELECT doc_id AS unit, 'a' AS coder, quality AS label FROM labels UNION ALL SELECT doc_id, 'b', 1 - toxic FROM labels)"
 _G = """WITH r AS (SELECT l_orderkey % 500 AS unit, CAST(ceil(CAST(l_quantity AS DOUBLE) / 10) AS DOUBLE) AS v, row_number() OVER () AS rid FROM lineitem WHERE l_quantity < 45),
@@ -145,8 +144,7 @@ ORACLES = {
     "kripp_nominal": _G.format(d="CASE WHEN x.v = y.v THEN 0 ELSE 1 END"), "kripp_interval": _G.format(d="(x.v - y.v) ** 2"), "kripp_ratio": _G.format(d="((x.v - y.v) / (x.v + y.v)) ** 2"),
     "kripp_ordinal": _G.format(d="CASE WHEN x.v = y.v THEN 0 ELSE (abs(x.s - y.s) + CASE WHEN x.s > y.s THEN y.k - x.k ELSE x.k - y.k END / 2) ** 2 END"),
     "qual_fold": _LOG + " SELECT unit, coder, max_by(label, seq) AS label, count(*) AS codings FROM a GROUP BY unit, coder",
-    "qual_table": _LOG.replace("FROM events)", "FROM events WHERE event_id < 400)") + ", p AS (SELECT unit, coder, count(*) AS n, max(label) AS label FROM a GROUP BY unit, coder) SELECT unit, coder, label FROM p WHERE unit NOT IN (SELECT unit FROM p WHERE n > 1)",
-    "qual_table_whole": _LOG.replace("user_id % 50", "concat_ws('@', user_id, CAST(ts AS DATE))") + """, p AS (SELECT unit, coder, count(*) AS n, max(label) AS label FROM a GROUP BY unit, coder), u AS (SELECT unit, max(n) AS n FROM p GROUP BY unit),
+    "qual_table": _LOG.replace("user_id % 50", "concat_ws('@', user_id, CAST(ts AS DATE))") + """, p AS (SELECT unit, coder, count(*) AS n, max(label) AS label FROM a GROUP BY unit, coder), u AS (SELECT unit, max(n) AS n FROM p GROUP BY unit),
       k AS (SELECT count(*) FILTER (n > 1) AS ambiguous_units, count(*) FILTER (n = 1) AS kept FROM u)
       SELECT p.unit, coder, label, ambiguous_units FROM p JOIN u ON u.unit = p.unit AND u.n = 1, k UNION ALL SELECT NULL, NULL, NULL, ambiguous_units FROM k WHERE kept = 0""",
 }

@@ -13,23 +13,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from verbarium.corpus import SQL, doc_term, round6, table
+from verbarium.corpus import SQL, doc_term, round6, table, terms
 from verbarium.functions import distributions as D
 
 ALPHA = 0.5
 
 
 def two_groups(docs: DataFrame, by: str = "lang", target: str = "en", reference: str = "de") -> DataFrame:
-    """(term, x, y): counts in the target and in the reference group, one aggregation."""
-    some = docs.where(F.col(by).isin(target, reference))
-    dt = doc_term(some).join(some.select("doc_id", by).distinct(), "doc_id")
-    return dt.groupBy("term").agg(*(F.sum(F.when(F.col(by) == g, F.col("n")).otherwise(0)).alias(c) for g, c in ((target, "x"), (reference, "y"))))
+    """(term, x, y): counts in the target and in the reference group, one aggregation of the tokens where they lie."""
+    tokens = docs.where(F.col(by).isin(target, reference)).select(F.col(by).alias("__g"), F.explode(terms(F.col("text"))).alias("term"))
+    return tokens.groupBy("term").agg(*(F.count_if(F.col("__g") == g).alias(c) for g, c in ((target, "x"), (reference, "y"))))
+
+
+def over(top: Column, bottom: Column) -> Column:
+    """top / bottom, NULL where bottom is 0: the measure is not defined."""
+    return top / F.when(bottom != 0, bottom)
 
 
 def divergences(pairs: DataFrame) -> DataFrame:
-    """All measures of two count vectors (x, y): one aggregation over the terms."""
+    """All measures of two count vectors (x, y): one aggregation over the terms. NULL where a measure is not defined (a group
+    without tokens)."""
     w = pairs.crossJoin(F.broadcast(pairs.agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.count(F.lit(1)).alias("v"))))
-    p, q = F.col("x") / F.col("sx"), F.col("y") / F.col("sy")
+    p, q = over(F.col("x"), F.col("sx")), over(F.col("y"), F.col("sy"))
     m = (p + q) / 2
     ls = lambda c, s: (F.col(c) + ALPHA) / (F.col(s) + ALPHA * F.col("v"))  # noqa: E731  Lidstone
     part = lambda a, b: F.when(a > 0, a * F.log2(a / F.when(b > 0, b))).otherwise(0.0)
@@ -44,12 +49,13 @@ def divergences(pairs: DataFrame) -> DataFrame:
     )
     c = F.col
     one = lambda top, bottom: F.when(bottom == 0, 1.0).otherwise(top / F.when(bottom == 0, 1).otherwise(bottom))
+    both = (c("sx") > 0) & (c("sy") > 0)
     return s.select(
         c("both").alias("shared_types"), round6(one(c("both"), c("nx") + c("ny") - c("both"))).alias("jaccard"), round6(one(2 * c("both"), c("nx") + c("ny"))).alias("dice"),
-        round6(c("xy") / F.sqrt(c("xx").cast("double") * c("yy"))).alias("cosine"), round6(F.sqrt("dd")).alias("euclidean"), c("md").alias("manhattan"),
-        round6(c("least") / c("most")).alias("weighted_jaccard"), round6(2 * c("least") / (c("sx") + c("sy"))).alias("multiset_dice"),
-        round6(F.when(c("open") == 0, c("kl_part"))).alias("kl"), round6("kl_smooth").alias("kl_smooth"),
-        round6("js").alias("js_div"), round6(F.sqrt("js")).alias("js_dist"), round6(F.sqrt("h") / math.sqrt(2)).alias("hellinger"),
+        round6(over(c("xy"), F.sqrt(c("xx").cast("double") * c("yy")))).alias("cosine"), round6(F.sqrt("dd")).alias("euclidean"), c("md").alias("manhattan"),
+        round6(over(c("least"), c("most"))).alias("weighted_jaccard"), round6(over(2 * c("least"), c("sx") + c("sy"))).alias("multiset_dice"),
+        round6(F.when(both & (c("open") == 0), c("kl_part"))).alias("kl"), round6("kl_smooth").alias("kl_smooth"),
+        round6(F.when(both, c("js"))).alias("js_div"), round6(F.when(both, F.sqrt("js"))).alias("js_dist"), round6(F.sqrt("h") / math.sqrt(2)).alias("hellinger"),
     )
 
 
@@ -79,7 +85,10 @@ def bh(p: Column, family: Column, order: list) -> Column:
 
 
 def keyness_stats(docs: DataFrame) -> DataFrame:
-    """Per term: G squared, log2 ratio with +0.5, odds ratio with its Woolf and ratio with its Katz interval."""
+    """Per term: G squared, log2 ratio with +0.5, odds ratio with its Woolf and ratio with its Katz interval.
+
+    A group without tokens leaves direction "equal": there is nothing to compare with.
+    """
     pairs = two_groups(docs)
     w = pairs.crossJoin(F.broadcast(pairs.agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"))))
     x, y, sx, sy = (F.col(c) for c in ("x", "y", "sx", "sy"))
@@ -96,7 +105,7 @@ def keyness_stats(docs: DataFrame) -> DataFrame:
         "term", "x", "y", "sx", "sy", round6(g).alias("g2"), round6(F.log2(ratio)).alias("log2_ratio"), round6(odds).alias("odds_ratio"),
         round6(F.log2(ratio) - z * se_ratio / math.log(2)).alias("ratio_low"), round6(F.log2(ratio) + z * se_ratio / math.log(2)).alias("ratio_high"),
         round6(F.exp(F.log(odds) - z * se_odds)).alias("odds_low"), round6(F.exp(F.log(odds) + z * se_odds)).alias("odds_high"),
-        F.when(x / sx > y / sy, "target").when(x / sx < y / sy, "reference").otherwise("equal").alias("direction"), round6(F.least(*e)).alias("least_expected"),
+        F.when(over(x, sx) > over(y, sy), "target").when(over(x, sx) < over(y, sy), "reference").otherwise("equal").alias("direction"), round6(F.least(*e)).alias("least_expected"),
     )
 
 
@@ -110,12 +119,13 @@ def keyness(docs: DataFrame) -> DataFrame:
 
 
 def contingency(rows: DataFrame, r: str, c: str) -> DataFrame:
-    """Cells with expected counts and adjusted residuals; empty margins do not occur in observed cells."""
+    """Cells with expected counts and adjusted residuals; empty margins do not occur in observed cells. The residual is NULL
+    where one category holds all rows."""
     cells = rows.groupBy(F.col(r).alias("r"), F.col(c).alias("c")).agg(F.count(F.lit(1)).alias("o"))
     n = F.sum("o").over(Window.partitionBy(F.lit(1)))
     rt, ct = F.sum("o").over(Window.partitionBy("r")), F.sum("o").over(Window.partitionBy("c"))
     e = rt * ct / n
-    return cells.select("r", "c", "o", round6(e).alias("expected"), round6((F.col("o") - e) / F.sqrt(e * (1 - rt / n) * (1 - ct / n))).alias("residual"), rt.alias("rt"), ct.alias("ct"), n.alias("n"))
+    return cells.select("r", "c", "o", round6(e).alias("expected"), round6(over(F.col("o") - e, F.sqrt(e * (1 - rt / n) * (1 - ct / n)))).alias("residual"), rt.alias("rt"), ct.alias("ct"), n.alias("n"))
 
 
 def association(rows: DataFrame, r: str, c: str) -> DataFrame:
@@ -124,39 +134,46 @@ def association(rows: DataFrame, r: str, c: str) -> DataFrame:
     s = x.agg(F.sum(F.col("o") * F.col("o") / (F.col("rt") * F.col("ct") / F.col("n"))).alias("s"), F.max("n").alias("n"), F.countDistinct("r").alias("nr"), F.countDistinct("c").alias("nc"))
     chi = F.col("s") - F.col("n")
     k = F.least(F.col("nr"), F.col("nc")) - 1
-    return s.select(round6(chi).alias("chi2"), ((F.col("nr") - 1) * (F.col("nc") - 1)).alias("df"), round6(F.sqrt(chi / (F.col("n") * k))).alias("cramers_v"), "n")
+    return s.select(round6(chi).alias("chi2"), ((F.col("nr") - 1) * (F.col("nc") - 1)).alias("df"), round6(F.sqrt(over(chi, F.col("n") * k))).alias("cramers_v"), "n")
 
 
 def monte_carlo(table: np.ndarray, simulations: int = 2000, seed: int = 20260918) -> float:
-    """Monte Carlo p of chi-square: column labels permuted over the observations, (1 + extreme) / (1 + simulations)."""
+    """Monte Carlo p of chi-square under independence, (1 + extreme) / (1 + simulations).
+
+    Tables are drawn from the margins, row by row, so the work does not grow with the number of observations.
+    """
     rng = np.random.default_rng(seed)
     t = np.asarray(table, int)
-    rows, cols = (np.repeat(np.arange(t.shape[i]), t.sum(1 - i)) for i in (0, 1))
+    t = t[t.sum(1) > 0][:, t.sum(0) > 0]
+    if min(t.shape) < 2:
+        return 1.0
     e = np.outer(t.sum(1), t.sum(0)) / t.sum()
-    stat = lambda o: ((o - e) ** 2 / e).sum()
-    seen, extreme = stat(t), 0
+    seen, extreme = ((t - e) ** 2 / e).sum(), 0
     for _ in range(simulations):
-        o = np.bincount(rows * t.shape[1] + rng.permutation(cols), minlength=t.size).reshape(t.shape)
-        extreme += stat(o) >= seen * (1 - 1e-12)
+        left, rows = t.sum(0), []
+        for n in t.sum(1)[:-1]:
+            rows.append(rng.multivariate_hypergeometric(left, n, method="marginals"))
+            left = left - rows[-1]
+        o = np.array([*rows, left])
+        extreme += ((o - e) ** 2 / e).sum() >= seen * (1 - 1e-12)
     return (1 + extreme) / (1 + simulations)
 
 
 def mc_chisq(spark, sf: str) -> DataFrame:
-    """Monte Carlo p of quality by toxicity labels, on the reduced 2 x 2 table."""
-    cells = table(spark, sf, "labels").groupBy("quality", "toxic").count().collect()
+    """Monte Carlo p of quality by toxicity labels, on the reduced 2 x 2 table; rows without both labels take no part."""
+    cells = table(spark, sf, "labels").where("quality IS NOT NULL AND toxic IS NOT NULL").groupBy("quality", "toxic").count().collect()
     t = np.zeros((2, 2), int)
     for r in cells:
         t[r.quality, r.toxic] += r["count"]
-    t = t[t.sum(1) > 0][:, t.sum(0) > 0]
     return spark.createDataFrame([(float(monte_carlo(t)),)], "p double")
 
 
-def fisher(spark, sf: str, least: int = 20, target: str = "fr", reference: str = "es") -> DataFrame:
-    """Fisher's exact test of one term per row: in how many documents of two languages the terms with least documents
-    stand."""
+def fisher(spark, sf: str, target: str = "en", reference: str = "de") -> DataFrame:
+    """Fisher's exact test of one term per row: in how many documents of two languages each term stands."""
     docs = table(spark, sf, "documents").where(F.col("lang").isin(target, reference))
-    n = docs.agg(F.sum((F.col("lang") == target).cast("long")).alias("nx"), F.sum((F.col("lang") == reference).cast("long")).alias("ny"))
-    df = doc_term(docs).join(docs.select("doc_id", "lang"), "doc_id").groupBy("term").agg(F.sum((F.col("lang") == target).cast("long")).alias("a"), F.sum((F.col("lang") == reference).cast("long")).alias("b")).where(F.col("a") + F.col("b") >= least)
+    n = docs.agg(*(F.count_if(F.col("lang") == g).alias(c) for g, c in ((target, "nx"), (reference, "ny"))))
+    have = docs.select("lang", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    df = have.groupBy("term").agg(*(F.count_if(F.col("lang") == g).alias(c) for g, c in ((target, "a"), (reference, "b"))))
     x = df.crossJoin(F.broadcast(n))
     return x.select("term", "a", "b", round6(_fisher(F.col("a"), F.col("b"), F.col("nx") - F.col("a"), F.col("ny") - F.col("b"))).alias("p"))
 
@@ -188,22 +205,18 @@ def lidstone(docs: DataFrame) -> DataFrame:
 
 
 def adjusted(docs: DataFrame) -> DataFrame:
-    """Bonferroni and Benjamini-Hochberg over a p-like value that SQL can also make: 1 / (1 + G squared)."""
-    s = keyness_stats(docs).where("x + y >= 20").select("term", (1 / (1 + F.col("g2"))).alias("p"))
-    m = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
-    return s.select("term", round6(F.least(F.lit(1.0), m * F.col("p"))).alias("bonferroni"), round6(bh(F.col("p"), m, ["term"])).alias("bh"))
-
+    """Bonferroni and Benjamini-Hochberg over all terms, of a p-like value that SQL can also make: 1 / (1 + G squared).
 
-def adjusted_whole(docs: DataFrame) -> DataFrame:
-    """adjusted over the family of all terms. Equal p values share their adjusted value, that of the last of them, so the
-    running sums and minima go over the different values only."""
+    Equal p values share their adjusted value, that of the last of them, so the running sums and minima go over the
+    different values only.
+    """
     s = keyness_stats(docs).select("term", (1 / (1 + F.col("g2"))).alias("p"))
     values = s.groupBy("p").agg(F.count(F.lit(1)).alias("k"))
     up = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
     ranked = values.crossJoin(F.broadcast(values.agg(F.sum("k").alias("m")))).withColumn("rank", F.sum("k").over(up))
     down = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
     q = ranked.select("p", round6(F.least(F.lit(1.0), F.col("m") * F.col("p"))).alias("bonferroni"), round6(F.least(F.lit(1.0), F.min(F.col("m") * F.col("p") / F.col("rank")).over(down))).alias("bh"))
-    return s.join(F.broadcast(q), "p").select("term", "bonferroni", "bh")
+    return s.join(q, "p").select("term", "bonferroni", "bh")
 
 
 _PAIRS = SQL + """, pr AS (SELECT term, CAST(count(*) FILTER (lang = 'en') AS BIGINT) AS x, CAST(count(*) FILTER (lang = 'de') AS BIGINT) AS y FROM tok WHERE lang IN ('en', 'de') GROUP BY term),
@@ -233,10 +246,8 @@ QUERIES = {
     "corpus_similarity": _q(corpus_similarity), **{k: _only(v) for k, v in _NAMES.items()}, "lidstone": _q(lidstone), "vector_distances": vector_pairs,
     "keyness_stats": _q(keyness_stats), "keyness": _q(keyness), "p_adjust": _q(adjusted), "bonferroni": lambda s, sf: adjusted(table(s, sf, "documents")).select("term", "bonferroni"),
     "bh": lambda s, sf: adjusted(table(s, sf, "documents")).select("term", "bh"), "contingency": _flags(contingency), "association": _flags(association), "fisher": fisher, "mc_chisq": mc_chisq,
-    "fisher_whole": lambda s, sf: fisher(s, sf, 1, "en", "de"), "p_adjust_whole": _q(adjusted_whole),
-    "bonferroni_whole": lambda s, sf: adjusted_whole(table(s, sf, "documents")).select("term", "bonferroni"), "bh_whole": lambda s, sf: adjusted_whole(table(s, sf, "documents")).select("term", "bh"),
 }
-_BH = _KEY + """, ps AS (SELECT term, 1 / (1 + g2) AS p FROM key WHERE x + y >= 20), m AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, term) AS rk FROM ps),
+_BH = _KEY + """, ps AS (SELECT term, 1 / (1 + g2) AS p FROM key), m AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, term) AS rk FROM ps),
 adj AS (SELECT term, round(least(1.0, m * p), 6) AS bonferroni, round(least(1.0, min(m * p / rk) OVER (ORDER BY p, term ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS bh FROM m)"""
 ORACLES = {
     "corpus_similarity": _SIM + " SELECT * FROM r", **{k: f"{_SIM} SELECT {v} FROM r" for k, v in _NAMES.items()},
@@ -247,15 +258,10 @@ ORACLES = {
     "contingency": _CON + " SELECT r, c, o, round(rt * ct / n, 6) AS expected, round((o - rt * ct / n) / sqrt(rt * ct / n * (1 - rt / n) * (1 - ct / n)), 6) AS residual, rt, ct, n FROM x",
     "association": _CON + """, s AS (SELECT sum(o * o / (rt * ct / n)) - max(n) AS chi, max(n) AS n, count(DISTINCT r) AS nr, count(DISTINCT c) AS nc FROM x)
       SELECT round(chi, 6) AS chi2, (nr - 1) * (nc - 1) AS df, round(sqrt(chi / (n * (least(nr, nc) - 1))), 6) AS cramers_v, n FROM s""",
-    "fisher": SQL + """, n AS (SELECT count(*) FILTER (lang = 'fr') AS nx, count(*) FILTER (lang = 'es') AS ny FROM documents),
-      d AS (SELECT term, count(DISTINCT doc_id) FILTER (lang = 'fr') AS a, count(DISTINCT doc_id) FILTER (lang = 'es') AS b FROM tok WHERE lang IN ('fr', 'es') GROUP BY term),
-      t AS (SELECT term, a, b, nx, ny, a + b AS k, unnest(range(greatest(0, a + b - ny), least(nx, a + b) + 1)) AS i FROM d, n WHERE a + b >= 20),
+    "fisher": SQL + """, n AS (SELECT count(*) FILTER (lang = 'en') AS nx, count(*) FILTER (lang = 'de') AS ny FROM documents),
+      d AS (SELECT term, count(DISTINCT doc_id) FILTER (lang = 'en') AS a, count(DISTINCT doc_id) FILTER (lang = 'de') AS b FROM tok WHERE lang IN ('en', 'de') GROUP BY term),
+      t AS (SELECT term, a, b, nx, ny, a + b AS k, unnest(range(greatest(0, a + b - ny), least(nx, a + b) + 1)) AS i FROM d, n),
       p AS (SELECT *, exp(lgamma(nx + 1) + lgamma(ny + 1) + lgamma(k + 1) + lgamma(nx + ny - k + 1) - lgamma(nx + ny + 1) - CASE WHEN i > 0 THEN lgamma(i + 1) ELSE 0 END - lgamma(nx - i + 1) - lgamma(k - i + 1) - lgamma(ny - k + i + 1)) AS pr FROM t),
       o AS (SELECT *, max(CASE WHEN i = a THEN pr END) OVER (PARTITION BY term) AS seen FROM p)
       SELECT term, a, b, round(least(1.0, sum(pr) FILTER (pr <= seen * (1 + 1e-7))), 6) AS p FROM o GROUP BY term, a, b""",
 }
-_BH_WHOLE = _BH.replace(" WHERE x + y >= 20", "")
-ORACLES |= {
-    "p_adjust_whole": _BH_WHOLE + " SELECT * FROM adj", "bonferroni_whole": _BH_WHOLE + " SELECT term, bonferroni FROM adj", "bh_whole": _BH_WHOLE + " SELECT term, bh FROM adj",
-    "fisher_whole": ORACLES["fisher"].replace(" WHERE a + b >= 20", "").replace("'fr'", "'en'").replace("'es'", "'de'"),
-}

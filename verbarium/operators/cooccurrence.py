@@ -53,32 +53,43 @@ def doc_colloc(docs: DataFrame) -> DataFrame:
     return _with_measures(doc_pairs(docs), "x", "y")
 
 
-def window_rows(docs: DataFrame, left: int = LEFT, right: int = RIGHT) -> DataFrame:
-    """(node, collocate, distance) of all ordered pairs in a window, without self pairs: arrays only, no shuffle."""
-    a = docs.select(terms(F.col("text")).alias("t")).where(F.size("t") > 1)
-    near = a.select("t", F.posexplode("t").alias("i", "node"))
-    low = F.greatest(F.lit(0), F.col("i") - left)
-    near = near.select("i", "node", low.alias("low"), F.slice("t", low + 1, F.col("i") - low + 1 + right).alias("w"))
-    rows = near.select("i", "node", "low", F.posexplode("w").alias("k", "collocate"))
-    return rows.select("node", "collocate", (F.col("low") + F.col("k") - F.col("i")).alias("distance")).where("distance <> 0 AND node <> collocate")
-
-
 def window_pairs(docs: DataFrame, left: int = LEFT, right: int = RIGHT) -> DataFrame:
-    """(node, collocate, joint, mean distance, sum of 1 / distance)."""
-    d = F.abs("distance")
-    return window_rows(docs, left, right).groupBy("node", "collocate").agg(F.count(F.lit(1)).alias("joint"), F.sum(d).alias("dist"), F.sum(1 / d).alias("weighted"))
+    """(node, collocate, joint, sum of distances, sum of 1 / distance) of all ordered pairs in a window, without self pairs.
 
-
-def win_colloc(docs: DataFrame, least: int = LEAST_JOINT, top: int = TOP) -> DataFrame:
-    """The strongest window pairs with their measures; totals are taken before the filter on joint counts."""
-    p = window_pairs(docs)
+    Every pair of places is made once, looking right, and summed up by unordered pair; a row is mirrored after that. Looking
+    right from node u, v is a collocate of u within right places, and u one of v within left places.
+    """
+    a = docs.select(terms(F.col("text")).alias("t")).where(F.size("t") > 1)
+    near = a.select("t", F.posexplode("t").alias("i", "u")).select("u", F.slice("t", F.col("i") + 2, max(left, right)).alias("w"))
+    rows = near.select("u", F.posexplode("w").alias("k", "v")).where("u <> v").withColumn("d", F.col("k") + 1)
+    after, before = ((F.col("d") <= side).cast("int") for side in (right, left))
+    first = F.col("u") < F.col("v")
+    ways = (("xy", F.when(first, after).otherwise(before)), ("yx", F.when(first, before).otherwise(after)))
+    if left == right:  # both ways count the same
+        ways = (("xy", F.lit(1)),)
+    sums = [s for name, is_in in ways for s in (F.sum(is_in).alias(f"n_{name}"), F.sum(is_in * F.col("d")).alias(f"d_{name}"), F.sum(is_in / F.col("d")).alias(f"w_{name}"))]
+    pairs = rows.groupBy(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")).agg(*sums)
+    way = lambda node, other, name: F.struct(F.col(node).alias("node"), F.col(other).alias("collocate"), F.col(f"n_{name}").alias("joint"), F.col(f"d_{name}").alias("dist"), F.col(f"w_{name}").alias("weighted"))
+    return pairs.select(F.inline(F.array(way("x", "y", "xy"), way("y", "x", ways[-1][0])))).where("joint > 0")
+
+
+def scored_pairs(docs: DataFrame, least: int = LEAST_JOINT) -> DataFrame:
+    """All window pairs with at least this joint count, and their measures; totals are taken before that filter.
+
+    The counted pairs are kept for the four places that read them, so that texts are tokenised once.
+    """
+    p = window_pairs(docs).persist()
     a = p.groupBy("node").agg(F.sum("joint").alias("a"))
     b = p.groupBy("collocate").agg(F.sum("joint").alias("b"))
     n = p.agg(F.sum("joint").alias("universe"))
     out = p.where(F.col("joint") >= least).join(a, "node").join(b, "collocate").crossJoin(F.broadcast(n))
     m = measures(*(F.col(c) for c in ("joint", "a", "b", "universe")))
-    out = out.select("node", "collocate", "joint", "a", "b", round6(F.col("dist") / F.col("joint")).alias("mean_distance"), round6("weighted").alias("weighted"), *(round6(v).alias(k) for k, v in m.items()))
-    return out.orderBy(F.desc("joint"), F.desc_nulls_last("logdice"), "node", "collocate").limit(top)
+    return out.select("node", "collocate", "joint", "a", "b", round6(F.col("dist") / F.col("joint")).alias("mean_distance"), round6("weighted").alias("weighted"), *(round6(v).alias(k) for k, v in m.items()))
+
+
+def win_colloc(docs: DataFrame, least: int = LEAST_JOINT, top: int = TOP) -> DataFrame:
+    """The strongest window pairs: a report of the top ones of scored_pairs."""
+    return scored_pairs(docs, least).orderBy(F.desc("joint"), F.desc_nulls_last("logdice"), "node", "collocate").limit(top)
 
 
 def _q(f, **k):
@@ -94,6 +105,8 @@ p AS (SELECT x.term AS x, y.term AS y, count(*) AS joint, x.df AS a, y.df AS b,
 _WIN = SQL + """, p AS (SELECT x.term AS node, y.term AS collocate, count(*) AS joint, sum(abs(y.pos - x.pos)) AS dist, sum(1 / abs(y.pos - x.pos)) AS weighted
   FROM tok x JOIN tok y ON x.doc_id = y.doc_id AND y.pos BETWEEN x.pos - 4 AND x.pos + 4 AND y.pos <> x.pos AND x.term <> y.term GROUP BY ALL),
 m AS (SELECT *, CAST(sum(joint) OVER (PARTITION BY node) AS BIGINT) AS a, CAST(sum(joint) OVER (PARTITION BY collocate) AS BIGINT) AS b, CAST(sum(joint) OVER () AS BIGINT) AS universe FROM p)"""
+#: SQL up to s: all window pairs of joint count 2 or more with their measures.
+SCORED = f"{_WIN}, s AS (SELECT node, collocate, joint, a, b, {_M} FROM m WHERE joint >= 2)"
 QUERIES = {"doc_cooc": _q(doc_cooc), "doc_colloc": _q(doc_colloc), "win_colloc": _q(win_colloc), "topk_pairs": _q(win_colloc, least=3, top=50)}
 ORACLES = {
     "doc_cooc": _DOC + " SELECT x, y, joint, a - joint AS first, b - joint AS second, universe - a - b + joint AS neither FROM p",

@@ -14,8 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbarium.corpus import round6, table
-from verbarium.operators.cooccurrence import doc_colloc, win_colloc
+from verbarium.corpus import cut, round6, table
+from verbarium.operators.cooccurrence import SCORED, doc_colloc, scored_pairs
 
 DAMPING = 0.85
 
@@ -33,39 +33,33 @@ def degree(edges: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, iterations: int = 10, damping: float = DAMPING, tolerance: float = 0.0) -> DataFrame:
     """Weighted PageRank, mass of dangling nodes spread uniformly; stops at an L1 change under tolerance.
 
-    Transition weights are partitioned by source once; each round is a join on it and one aggregation. Lineage is cut
-    by a reliable checkpoint every few rounds where the session has a checkpoint folder.
+    Transition weights are partitioned by source once; each round is a join on it and one aggregation, whose result is
+    written to the checkpoint folder, so that a round's plan is as long as the first one's.
     """
-    spark = edges.sparkSession
-    has_dir = spark.conf.get("spark.checkpoint.dir", None)
     total = edges.groupBy("src").agg(F.sum("weight").alias("t")).where("t > 0")
     steps = edges.join(total, "src").groupBy("src", "dst").agg((F.sum("weight") / F.first("t")).alias("p")).repartition("src").persist()
     ids = nodes(edges).persist()
     n = ids.count()
-    ranks = ids.withColumn("r", F.lit(1.0 / n))
-    for k in range(iterations):
-        moved = steps.join(ranks, steps["src"] == ranks["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("r") * F.col("p")).alias("m")).persist()  # read twice a round
-        arrived = moved.agg(F.sum("m").alias("a"))
-        new = ids.join(moved, "id", "left").crossJoin(F.broadcast(arrived)).select("id", ((1 - damping) / n + damping * (F.coalesce("m", F.lit(0.0)) + (1 - F.coalesce("a", F.lit(0.0))) / n)).alias("r"))
-        if has_dir and k % 5 == 4:
-            new = new.checkpoint()
-        if tolerance > 0:
-            new = new.persist()
-            if new.join(ranks.select("id", F.col("r").alias("q")), "id").agg(F.sum(F.abs(F.col("r") - F.col("q")))).first()[0] < tolerance:
-                ranks = new
-                break
-        ranks = new
+    ranks = ids.withColumn("r", F.lit(1.0 / max(n, 1)))
+    for _ in range(iterations if n else 0):
+        moved = cut(steps.join(ranks, steps["src"] == ranks["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("r") * F.col("p")).alias("m")))
+        lost = 1 - (moved.agg(F.sum("m")).first()[0] or 0.0)
+        before = ranks
+        ranks = ids.join(moved, "id", "left").select("id", ((1 - damping) / n + damping * (F.coalesce("m", F.lit(0.0)) + lost / n)).alias("r"))
+        if tolerance > 0 and ranks.join(before.select("id", F.col("r").alias("q")), "id").agg(F.sum(F.abs(F.col("r") - F.col("q")))).first()[0] < tolerance:
+            break
     return ranks.select("id", round6("r").alias("rank"))
 
 
 def weak_components(edges: DataFrame) -> DataFrame:
-    """(id, comp): smallest id that is connected, directions ignored. Minimum propagation with pointer jumping."""
+    """(id, comp): smallest id that is connected, directions ignored. Minimum propagation with pointer jumping, each round
+    written to the checkpoint folder."""
     both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct().persist()
-    labels = nodes(edges).withColumn("comp", F.col("id")).persist()
+    labels = cut(nodes(edges).withColumn("comp", F.col("id")))
     while True:
         near = both.join(labels, both["dst"] == labels["id"]).groupBy("src").agg(F.min("comp").alias("m"))
         step = labels.join(near, labels["id"] == near["src"], "left").select("id", F.least("comp", F.coalesce("m", "comp")).alias("c"))
-        jump = step.join(step.select(F.col("id").alias("c"), F.col("c").alias("cc")), "c").select("id", "cc").withColumnRenamed("cc", "comp").persist()
+        jump = cut(step.join(step.select(F.col("id").alias("c"), F.col("c").alias("cc")), "c").select("id", "cc").withColumnRenamed("cc", "comp"))
         if jump.join(labels.select("id", F.col("comp").alias("old")), "id").where("comp <> old").isEmpty():
             return jump
         labels = jump
@@ -242,7 +236,8 @@ def term_graph(spark, sf: str) -> DataFrame:
 
 
 def window_graph(spark, sf: str, least_log_dice: float = 6.0) -> DataFrame:
-    x = win_colloc(table(spark, sf, "documents")).where(F.col("logdice") >= least_log_dice)
+    """Edges (src, dst, weight) of all window pairs that are that strong."""
+    x = scored_pairs(table(spark, sf, "documents")).where(F.col("logdice") >= least_log_dice)
     return x.select(F.col("node").alias("src"), F.col("collocate").alias("dst"), F.col("joint").cast("double").alias("weight"))
 
 
@@ -258,12 +253,16 @@ def _modularity(spark, sf: str) -> DataFrame:
 QUERIES = {
     "degree": lambda s, sf: degree(user_events(s, sf)), "pagerank": lambda s, sf: pagerank(user_events(s, sf)), "weak_cc": lambda s, sf: weak_components(user_events(s, sf)),
     "modularity": _modularity, "betweenness": _m("betweenness"), "harmonic": _m("harmonic"), "w_betweenness": _m("w_betweenness"), "w_harmonic": _m("w_harmonic"), "eigenvector": _m("eigenvector"),
-    "strong_cc": _m("strong"), "louvain": _m("community"), "doc_network": lambda s, sf: measures(s, term_graph(s, sf)), "win_network": lambda s, sf: measures(s, window_graph(s, sf)),
+    "strong_cc": _m("strong"), "louvain": _m("community"), "doc_network": lambda s, sf: measures(s, term_graph(s, sf)), "win_network": window_graph, "win_network_nodes": lambda s, sf: degree(window_graph(s, sf)),
 }
 _E = "WITH RECURSIVE e AS (SELECT 'u' || (user_id % 200) AS src, 't' || event_type AS dst, CAST(count(*) AS DOUBLE) AS weight FROM events GROUP BY ALL), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e)"
 ORACLES = {
     "degree": _E + """, d AS (SELECT src AS id, 1 AS o, 0 AS i, weight AS wo, 0.0::DOUBLE AS wi FROM e UNION ALL SELECT dst, 0, 1, 0.0, weight FROM e)
       SELECT id, CAST(sum(o) AS BIGINT) AS out, CAST(sum(i) AS BIGINT) AS "in", round(sum(wo), 6) AS w_out, round(sum(wi), 6) AS w_in FROM d GROUP BY id""",
+    "win_network": SCORED + " SELECT node AS src, collocate AS dst, CAST(joint AS DOUBLE) AS weight FROM s WHERE logdice >= 6",
+    "win_network_nodes": SCORED + """, e AS (SELECT node AS src, collocate AS dst, CAST(joint AS DOUBLE) AS weight FROM s WHERE logdice >= 6),
+      d AS (SELECT src AS id, 1 AS o, 0 AS i, weight AS wo, 0.0::DOUBLE AS wi FROM e UNION ALL SELECT dst, 0, 1, 0.0, weight FROM e)
+      SELECT id, CAST(sum(o) AS BIGINT) AS out, CAST(sum(i) AS BIGINT) AS "in", round(sum(wo), 6) AS w_out, round(sum(wi), 6) AS w_in FROM d GROUP BY id""",
     "weak_cc": _E + """, b AS (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e), r(id, m) AS (SELECT id, id FROM v UNION SELECT b.y, r.m FROM r JOIN b ON b.x = r.id WHERE r.m < b.y)
       SELECT id, min(m) AS comp FROM r GROUP BY id""",
     "modularity": _E + """, c AS (SELECT id, CASE WHEN id IN ('tclick', 'tview') OR (id LIKE 'u%' AND right(id, 1) < '5') THEN 0 ELSE 1 END AS comp FROM v),

@@ -131,13 +131,13 @@ def ngram_freq(docs: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def dispersion(docs: DataFrame, part: str = "source") -> DataFrame:
-    """Deviation of proportions per term over declared parts, plain and normalised."""
+    """Deviation of proportions per term over declared parts, plain and normalised. Rows without a part form one part."""
     rows = docs.select(F.col(part).alias("part"), F.explode(terms(F.col("text"))).alias("term"))
     pt = rows.groupBy("part", "term").agg(F.count(F.lit(1)).alias("n"))
     size = pt.groupBy("part").agg(F.sum("n").alias("size"))
     whole = size.agg(F.sum("size").alias("all"), F.min("size").alias("least"))
     f = pt.groupBy("term").agg(F.sum("n").alias("f"))
-    x = pt.join(F.broadcast(size), "part").join(f, "term").crossJoin(F.broadcast(whole))
+    x = pt.join(size.withColumnRenamed("part", "__part"), F.col("part").eqNullSafe(F.col("__part"))).join(f, "term").crossJoin(F.broadcast(whole))
     d = x.groupBy("term", "f", "all", "least").agg((0.5 * (F.sum(F.abs(F.col("n") / F.col("f") - F.col("size") / F.col("all"))) + 1 - F.sum(F.col("size") / F.col("all")))).alias("dp"), F.count(F.lit(1)).alias("range"))
     return d.select("term", "f", "range", round6("dp").alias("dp"), round6(F.try_divide(F.col("dp"), 1 - F.col("least") / F.col("all"))).alias("dpnorm"))
 

@@ -53,21 +53,22 @@ def query_terms(spark, text: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, text: str = QUERY, k1: float = K1, b: float = B) -> DataFrame:
-    """All documents ranked by score, then id; a query term that no document has adds nothing.
+    """(doc_id, score) of all documents; a query term that no document has adds nothing. Order and cut as wanted.
 
-    The distinct query terms are few by nature and filter the tokens before anything is shuffled.
+    The distinct query terms are few by nature: their counts stand beside a document's length in one projection of its
+    tokens, so nothing is shuffled but the sums over all documents.
     """
-    spark = docs.sparkSession
-    asked = query_terms(spark, text)
-    counts = docs.select("doc_id", F.explode(terms(F.col("text"))).alias("term")).join(F.broadcast(asked), "term").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    size = lengths(docs)
-    whole = size.agg(F.count(F.lit(1)).alias("D"), F.avg("len").alias("avg"))
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    x = counts.join(F.broadcast(df), "term").join(size, "doc_id").crossJoin(F.broadcast(whole))
-    weight = F.log(1 + (F.col("D") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = weight * F.col("n") * (k1 + 1) / (F.col("n") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
-    scores = x.groupBy("doc_id").agg(F.sum(part).alias("s"))
-    return docs.select("doc_id").join(scores, "doc_id", "left").select("doc_id", round6(F.coalesce("s", F.lit(0.0))).alias("score"))
+    asked = sorted(r.term for r in query_terms(docs.sparkSession, text).collect())
+    t = docs.select("doc_id", terms(F.coalesce(F.col("text"), F.lit(""))).alias("t"))
+    each = [(F.size("t") - F.size(F.array_remove("t", q))).alias(f"n{i}") for i, q in enumerate(asked)]
+    counts = t.select("doc_id", F.size("t").alias("len"), *each).persist()  # a few numbers a document, read twice
+    whole = counts.agg(F.count(F.lit(1)).alias("D"), F.avg("len").alias("avg"), *(F.count_if(F.col(f"n{i}") > 0).alias(f"df{i}") for i in range(len(asked))))
+    size = F.coalesce(F.col("len") / F.when(F.col("avg") > 0, F.col("avg")), F.lit(0.0))
+    score = F.lit(0.0)
+    for i in range(len(asked)):
+        n, df = F.col(f"n{i}"), F.col(f"df{i}")
+        score += F.log(1 + (F.col("D") - df + 0.5) / (df + 0.5)) * n * (k1 + 1) / (n + k1 * (1 - b + b * size))
+    return counts.crossJoin(F.broadcast(whole)).select("doc_id", round6(score).alias("score"))
 
 
 def sentences(docs: DataFrame) -> DataFrame:

@@ -164,8 +164,8 @@ _ORDER = {"strong": 5, "moderate": 4, "descriptive": 3, "weak": 2, "caution": 1}
 
 
 def findings(docs: DataFrame, most: int = 100) -> DataFrame:
-    """Window collocations that are supported, best first, with their rank."""
-    x = cooccurrence.win_colloc(docs)
+    """The best of all window collocations that are supported: a report of `most` rows, ranked over every pair."""
+    x = cooccurrence.scored_pairs(docs)
     s = x.withColumn("support", support_collocation(F.col("joint"), F.col("tscore"), F.col("npmi"))).where("support <> 'insufficient'")
     key = F.create_map(*(F.lit(v) for kv in _ORDER.items() for v in kv))[F.col("support")]
     return s.orderBy(key.desc(), F.abs("logdice").desc(), "node", "collocate").limit(most).select("node", "collocate", "joint", "support", "logdice")
@@ -224,6 +224,10 @@ ORACLES = {
     "support_collocation": _case("NOT (n % 9 >= 3 AND n / 5 >= 2 AND x - 0.2 > 0)", "x - 0.2 >= 0.5 AND n % 9 >= 5", "x - 0.2 >= 0.25", "weak", "n % 9 < 5"),
     "support_community": _case("x < 0.3", "x >= 0.5", None, "moderate", "n < 10"), "support_clustering": _case("x <= 0.25", "x > 0.7", "x > 0.5", "weak", "n % 4 < 2"),
     "support_axis": _case("x <= 1 / (n % 5 + 1)", "x >= 2 / (n % 5 + 1)", None, "moderate", "p * 2 < 0.05"), "support_keyness": _case("p > 0.05 OR abs(x * 4 - 1) < 1", "p <= 0.01 AND abs(x * 4 - 1) >= 2", None, "moderate", "n % 10 < 5"),
+    "findings": cooccurrence.SCORED + """, c AS (SELECT *, CASE WHEN NOT (joint >= 3 AND tscore >= 2 AND npmi > 0) THEN 'insufficient' WHEN npmi >= 0.5 AND joint >= 5 THEN 'strong' WHEN npmi >= 0.25 THEN 'moderate' ELSE 'weak' END AS c FROM s),
+      f AS (SELECT *, CASE WHEN joint < 5 THEN 'caution' ELSE c END AS support FROM c WHERE c <> 'insufficient')
+      SELECT node, collocate, joint, support, logdice FROM f
+      ORDER BY CASE support WHEN 'strong' THEN 5 WHEN 'moderate' THEN 4 WHEN 'descriptive' THEN 3 WHEN 'weak' THEN 2 ELSE 1 END DESC, abs(logdice) DESC, node, collocate LIMIT 100""",
     "support_similarity": "SELECT l_orderkey, l_linenumber, CASE WHEN CAST(l_quantity AS BIGINT) < 10 THEN 'caution' ELSE 'descriptive' END AS support FROM lineitem",
     "investigation": "WITH l AS (SELECT event_id AS id, CASE WHEN event_id % 5 <> 0 THEN event_id - 2 END AS predecessor FROM events) SELECT id FROM l WHERE id NOT IN (SELECT predecessor FROM l WHERE predecessor IS NOT NULL)",
 }

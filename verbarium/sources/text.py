@@ -217,12 +217,19 @@ def view_collocations(pairs: DataFrame) -> DataFrame:
 
 
 def _views(spark, sf: str) -> DataFrame:
-    from verbarium.operators.cooccurrence import win_colloc
+    from verbarium.operators.cooccurrence import scored_pairs
 
-    return view_collocations(win_colloc(_docs(spark, sf)))
+    return view_collocations(scored_pairs(_docs(spark, sf)))
+
+
+def _views_sql() -> str:
+    from verbarium.operators.cooccurrence import SCORED
+
+    return SCORED + """ SELECT node AS "row", collocate AS "column", node || ' ' || collocate AS label, logdice AS value FROM s"""
 
 
 QUERIES["view_specs"] = _views
+ORACLES["view_specs"] = _views_sql()
 QUERIES["sink_json"] = lambda s, sf: _docs(s, sf).select("doc_id", F.to_json(F.struct("doc_id", "lang", "n_chars", "source")).alias("json"))
 QUERIES["span_compose"] = lambda s, sf: s.createDataFrame(compose([(0, 5, 2, 7, "exact"), (5, 6, 7, 9, "derivational")], [(0, 10, 100, 110, "exact")]), "out_start int, out_end int, src_start int, src_end int, kind string")
 ORACLES["span_compose"] = "SELECT * FROM (VALUES (0, 5, 102, 107, 'exact'), (5, 6, 107, 109, 'derivational')) t(out_start, out_end, src_start, src_end, kind)"
