@@ -241,7 +241,7 @@ def _compare(group: pa.Table) -> pa.Table:
         for i, c in enumerate(comps):
             joined.join(first.setdefault(c, i), i)
         own = np.unique(comps, return_inverse=True)[1]
-        pairs = _candidates(words_of(texts), own, None if left.all() else left)
+        pairs = _candidates(words_of(texts), own, left, bool(np.asarray(group["inner"]).any()))
         # a pair that shares an earlier band's sketch too is compared in that band's bucket
         before = np.asarray(group["sketches"].combine_chunks().flatten()).reshape(n, SKETCHES)[:, : group["band"][0].as_py()]
         again = np.concatenate([(before[x[:, 0]] == before[x[:, 1]]).any(1) for x in np.array_split(pairs, len(pairs) // 100_000 + 1)])
@@ -255,8 +255,8 @@ def _compare(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
-def _candidates(words: list[np.ndarray], comps: np.ndarray, left: np.ndarray | None) -> np.ndarray:
-    """Pairs (i < j) of different components that may be at SIMILARITY, by a prefix filter on labelled words.
+def _candidates(words: list[np.ndarray], comps: np.ndarray, left: np.ndarray, inner: bool) -> np.ndarray:
+    """Pairs (i < j), across the sides or, with one side or inner, on the left, of different components that may be at SIMILARITY, by a prefix filter on labelled words.
 
     Aligned words are common words, of which a match has SIMILARITY of either text at least. So with all words in one order,
     rare ones first, two that match have a word in common among the first n (1 - SIMILARITY) + 1 of both.
@@ -282,8 +282,8 @@ def _candidates(words: list[np.ndarray], comps: np.ndarray, left: np.ndarray | N
         members = owner[start:end]
         may[members[:, None], members] = True
     may &= comps[:, None] != comps
-    if left is not None:  # two blocks: pairs within either belong to other tasks
-        may &= left[:, None] != left
+    if not left.all():  # two blocks: other pairs within either belong to other tasks
+        may &= (left[:, None] != left) | (inner & left[:, None] & left)
     return np.argwhere(np.triu(may, 1))
 
 
@@ -365,18 +365,27 @@ def _in_full(placed: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
     mixed = mixed.groupBy("size", "same", "leader").agg(F.min(F.struct("band", "value")).alias("k")).select("k.*")
     rows = staged(placed.join(mixed, ["band", "value"]).withColumn("length", F.floor(F.log("n") / -math.log(SIMILARITY) + 1e-9).cast("int")), "mixed")
     most = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(BLOCK_WORDS / F.max("n")).cast("int")))
-    sizes = staged(rows.groupBy("band", "value", "length").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("blocks")), "lengths")
+    sizes = rows.groupBy("band", "value", "length").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("blocks"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    sizes = staged(sizes, "lengths")
     for step, name in ((-1, "shorter"), (1, "longer")):
-        beside = sizes.select("band", "value", (F.col("length") - step).alias("length"), F.col("blocks").alias(name))
+        beside = sizes.select("band", "value", (F.col("length") - step).alias("length"), F.struct("blocks", "x", "y").alias(name))
         rows = rows.join(beside, ["band", "value", "length"], "left")
     rows = rows.join(sizes, ["band", "value", "length"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # (length, block) of the left side, (length, block) of the right side, whether this row is on the left
-    pair = lambda l, a, m, b, left: F.struct(l.alias("l"), a.alias("a"), m.alias("m"), b.alias("b"), F.lit(left).alias("left"))
     length, block = F.col("length"), F.col("block")
-    upto = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    own = F.transform(upto(F.col("blocks")), lambda o: F.struct(length.alias("l"), F.least(block, o).alias("a"), length.alias("m"), F.greatest(block, o).alias("b"), (block <= o).alias("left")))
-    up = F.transform(upto(F.col("longer")), lambda o: pair(length, block, length + 1, o, True))
-    down = F.transform(upto(F.col("shorter")), lambda o: pair(length - 1, o, length, block, False))
+
+    def beside(name: str):
+        """Blocks of that class to meet; none if this class and that one hold one component only."""
+        several = F.col(name).isNotNull() & (F.least("x", f"{name}.x") != F.greatest("y", f"{name}.y"))
+        return F.when(several, F.sequence(F.lit(0), F.col(f"{name}.blocks") - 1)).otherwise(F.array().cast("array<int>"))
+
+    # (length, block) of the left side, (length, block) of the right side, whether this row is on the left, whether pairs
+    # inside the left block are compared there too: a class of one block needs no task for itself if it meets a longer one
+    place = lambda l, a, m, b, left, inner: F.struct(l.alias("l"), a.alias("a"), m.alias("m"), b.alias("b"), left.alias("left"), inner.alias("inner"))
+    alone = (F.col("x") != F.col("y")) & ((F.col("blocks") > 1) | F.col("longer").isNull())
+    own = F.when(alone, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array().cast("array<int>"))
+    own = F.transform(own, lambda o: place(length, F.least(block, o), length, F.greatest(block, o), block <= o, F.lit(False)))
+    up = F.transform(beside("longer"), lambda o: place(length, block, length + 1, o, F.lit(True), (F.col("blocks") == 1) & (o == 0)))
+    down = F.transform(beside("shorter"), lambda o: place(length - 1, o, length, block, F.lit(False), F.lit(False)))
     rows = rows.join(reps.select("rep", "sketches"), "rep")
     rows = rows.select("band", "value", "rep", "comp", "sketches", F.explode(F.concat(own, up, down)).alias("p"))
     return rows.select("band", "value", "rep", "comp", "sketches", "p.*").join(texts, "rep").groupBy("band", "value", "l", "a", "m", "b").applyInArrow(_compare, "a long, b long")
