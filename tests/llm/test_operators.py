@@ -296,3 +296,28 @@ def test_toxicity(spark, docs, none):
     scores = [r.score for r in toxicity.score(docs, model).collect()]
     assert len(scores) == docs.count() and all(0 <= s <= 1 for s in scores)
     assert toxicity.score(none, model).count() == 0 and toxicity.fit(none, labels).ready is False
+
+
+@pytest.mark.parametrize("block", [1, 2, 1500])
+def test_near_dedup_in_full_finds_every_link(spark, monkeypatch, block):
+    """Members of one bucket in classes of lengths with and without neighbours: links equal those of all pairs."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(6)
+    texts = []
+    for n in (60, 66, 200):
+        base = words(rng, n).split()
+        for i in range(3):
+            texts.append(" ".join("changed" if j == 11 * i + 5 else w for j, w in enumerate(base[: n - i])))
+    texts.append(words(rng, 900))
+    rows = [(0, 7, i, len(t.split()), i) for i, t in enumerate(texts)]
+    placed = spark.createDataFrame(rows, "band int, value long, rep long, n int, comp long")
+    known = spark.createDataFrame(list(enumerate(texts)), "rep long, text string")
+    reps = spark.createDataFrame([(i, [i * 100 + k for k in range(near_dedup.SKETCHES)]) for i in range(len(texts))], "rep long, sketches array<long>")
+    keys, got, want = near_dedup.keys_of(texts), near_dedup.Joined(len(texts)), near_dedup.Joined(len(texts))
+    for r in near_dedup._in_full(placed, known, reps).collect():
+        got.join(r.a, r.b)
+    for i in range(len(texts)):
+        for j in range(i):
+            if near_dedup.similarity(keys[j], keys[i]) >= near_dedup.SIMILARITY:
+                want.join(i, j)
+    assert [got.root(i) for i in range(len(texts))] == [want.root(i) for i in range(len(texts))] and want.root(2) == 0 and want.root(8) == 6
