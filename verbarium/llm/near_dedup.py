@@ -10,9 +10,9 @@ A candidate pair is verified by a banded alignment of its words, anchored in the
 labelled k-mers that is increasing in both texts and stays within the diagonal band that a similarity of SIMILARITY
 leaves open (|i - j| at most (n + m) (1 - s) / (1 + s) for n and m words); every k-mer of the chain aligns its words, each
 word once. With A words aligned, the similarity is A / (n + m - A). A pair counts at SIMILARITY or more. So a word
-counts as kept if it lies in a run of K kept words, and copies with up to about 7 % of their words changed at random are
-found; a plain share of common 5-word k-mers would already be down to 0.8 at 2 %. A pair of 7 % shares no sketch
-with probability (1 - 0.15) ** 32, 0.5 %; one of 4 % with 1e-5.
+counts as kept if it lies in a run of K kept words. Measured on 963 texts with words replaced at random, 99 % of copies
+reach SIMILARITY at a rate of 2 %, 90 % at 4 %, 51 % at 7 % and 8 % at 10 %; a plain share of common 5-word k-mers would
+be down to 0.8 at 2 %. Of the verified pairs, none at 2 and 4 %, four at 7 % and one at 10 % shared no sketch.
 
 Classes are the connected components of the verified pairs; class_id is the smallest doc_id in it. Work by stages, all
 distributed: (1) sketch each text where it lies; (2) texts equal as word sequences become one representative, with an
