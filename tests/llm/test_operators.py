@@ -87,6 +87,19 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(1, 21)}, 41: 40, 42: 40}
 
 
+@pytest.mark.parametrize("edges", [[], [(i, i + 1) for i in range(30)], [(7 * i % 50, 11 * i % 60) for i in range(40)]])
+def test_components_after_further_links(spark, edges):
+    both = near_dedup.Joined(100)
+    for a, b in edges:
+        both.join(a, b)
+    want = {(i, both.root(i)) for i in range(100) if both.root(i) != i}
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    half = len(edges) // 2
+    got = near_dedup._joined(near_dedup.components(frame(edges[:half])), frame(edges[half:]))
+    assert {tuple(r) for r in got.collect()} == want
+    assert {tuple(r) for r in near_dedup.components(frame(edges)).collect()} == want
+
+
 def test_sharding_is_balanced_and_moves_little(spark):
     keys = spark.range(5000).select(F.col("id").alias("doc_id"))
     a = sharding.assign(keys, 24).collect()

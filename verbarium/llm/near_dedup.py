@@ -321,12 +321,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star until the edges are a star around each component's smallest node.
     """
     now = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    mark = None
-    while True:
-        seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (seen.n, seen.h) == mark or not seen.n:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-        mark = (seen.n, seen.h)
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large_least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large")
         large = both.join(large_least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -336,6 +331,26 @@ def components(edges: DataFrame) -> DataFrame:
         grown = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "small-star")
         unstage(now, large_least, large, least)
         now = grown
+    return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether the edges (u, v), v smaller, are stars: each u has one edge, and no v is a u."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").count() == 0
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components found (node, comp) after further links (a, b): only the components that these join are worked on again."""
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(found.select(F.col("node").alias(end), F.col("comp").alias(f"comp_{end}")), end, "left")
+    ends = ends.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
+    # a component's smallest node is no node of found, so it comes from here
+    new = components(ends)
+    moved = found.join(new.select(F.col("node").alias("comp"), F.col("comp").alias("into")), "comp", "left")
+    return moved.select("node", F.coalesce("into", "comp").alias("comp")).unionByName(new)
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -417,7 +432,7 @@ def classes(docs: DataFrame) -> DataFrame:
     placed = staged(placed.select("band", "value", "rep", "n", F.coalesce("comp", "rep").alias("comp")), "placed")
     more = staged(_in_full(placed, texts, reps), "more-links")
     if not more.isEmpty():
-        found = components(links.unionByName(more))
+        found = _joined(found, more)
     unstage(members, pairs, texts, placed)
     named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "holder", F.coalesce("comp", "rep").alias("comp"))
     named = staged(named, "named")
