@@ -119,6 +119,13 @@ def test_query_tree():
     assert language.from_json(language.to_json(t)) == t and language.digest(t) == language.digest(language.parse('a  ("b c"~2 or not d) near/3 e'))
 
 
+def test_span_lookup_of_texts_without_output(spark, tmp_path):
+    texts = ["", None, "---", "```\n", "<!-- x -->", "**", "abc", "# abc", " **abc**"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.start for r in sources.QUERIES["span_lookup"](spark, str(tmp_path)).collect()}
+    assert got == {0: None, 1: None, 2: None, 3: None, 4: None, 5: None, 6: 0, 7: 2, 8: 0}
+
+
 def test_markdown():
     text, spans = sources.extract_markdown("# Titolo\n\nUna **fonte** affidabile &amp; locale.\n")
     assert "Una fonte affidabile & locale." in text
