@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verbarium.functions import distributions as D
-from verbarium.functions import tokenizer
+from verbarium.functions import surface, tokenizer
 from verbarium.operators import agreement, comparison, cooccurrence, multivariate, networks, profile, ranking, statistics
 from verbarium.plans import analysis
 from verbarium.query import evaluate, language
@@ -102,6 +102,36 @@ def test_tokenizer():
     assert [k for *_, k in kinds("Costo: 12,50 €.")] == ["word", "punctuation", "number", "currency", "punctuation"]
 
 
+ODD = [
+    "Ciao a tutti! Il dott. Rossi (o il Sig. Bianchi?) arriva.\nFine", "", None, " \n ", "a.\x1c\n\x1cb\u00a0c!\u2028d", "un po' di\u3000http://a.b/c?d. \u0600 x 👩🏽‍💻🇮🇹",
+    "HTTP\u017f://x.y nome@example.it, #tag_1 @chi 12,5 € È così?!” Sì.", "x" * 3000 + "://" + "\u0301 \u0301", "(\"Basta.\") E poi… DR. fa’ e dr.x\r\ny", "una due " * 2000 + "tre. quattro. cinque",
+]
+
+
+def by_sentence(text):
+    toks = tokenizer.tokenize(text or "")
+    ends = [e for _, e in tokenizer.sentences(text or "", toks)]
+    return [(i, t.start, t.end, t.surface, t.kind, sum(e <= t.start for e in ends)) for i, t in enumerate(toks)]
+
+
+@pytest.mark.parametrize("first, last", [(0, 0), (0, 1), (1, 2), (2, 9)])
+def test_passages(spark, first, last):
+    rows = [*enumerate(ODD), (0, "Un'altra riga. Stesso id. Fine."), (None, "Senza id. Due.")]
+    want = []
+    for d, t in rows:
+        if met := [x for x in by_sentence(t) if first <= x[5] <= last]:
+            a, b = met[0][1], met[-1][2]
+            want.append((d, a, b, t.encode()[a:b].decode()))
+    got = [tuple(r) for r in sources.passages(spark.createDataFrame(rows, "doc_id long, text string"), first, last).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_passages_read_up_to_their_end(monkeypatch):
+    read, columns = [], surface.columns
+    monkeypatch.setattr(surface, "columns", lambda raws, *a: read.append(sum(map(len, raws))) or columns(raws, *a))
+    assert surface.ranges([("Uno due. " * 100_000).encode(), b"Tre"], 0, 1) == [(0, 17), (0, 3)] and sum(read) < 10_000
+
+
 @pytest.mark.parametrize("query, want", [("normalized:casa", ["Casa", "casa", "casa"]), ("form:Casa", ["Casa"]), ('"casa sul mare"', ["casa sul mare"]), ("normalized:casa BEFORE/1 normalized:mare", ["casa sul mare"]), ("form:/^Casa$/", ["Casa"]), ('"casa mare"~1', ["casa sul mare"]), ("NOT casa", [])])
 def test_query(spark, query, want):
     d = spark.createDataFrame([(1, "Casa, casa sul mare. La casa guarda il mare.")], "doc_id long, text string")
