@@ -2,8 +2,10 @@
 
 import math
 import os
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +134,28 @@ def test_passages_read_up_to_their_end(monkeypatch):
     assert surface.ranges([("Uno due. " * 100_000).encode(), b"Tre"], 0, 1) == [(0, 17), (0, 3)] and sum(read) < 10_000
 
 
+def test_surface_tokens(spark, tmp_path):
+    docs = spark.createDataFrame([*enumerate(ODD), (None, "Senza id. Due.")], "doc_id long, text string")
+    want = [(d, *x) for d, t in [*enumerate(ODD), (None, "Senza id. Due.")] for x in by_sentence(t)]
+    got = [tuple(r) for r in sources.surface_tokens(docs).select("doc_id", "idx", "start", "end", "surface", "kind", "sent").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.kind: r.n for r in sources.QUERIES["tokenize"](spark, str(tmp_path)).collect()} == Counter(x[5] for x in want)
+
+
+def test_surface_tokens_once_a_shape(spark, monkeypatch):
+    calls, plain = [], tokenizer.tokenize
+    monkeypatch.setattr(tokenizer, "tokenize", lambda t: calls.append(t) or plain(t))
+    monkeypatch.setattr(surface, "_kept", surface._Shapes())
+    texts = [f"Parola, {word} numero {i:03d}." for word in ("casa", "mare", "dott.") for i in range(500)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1500)), "text": texts})
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    made = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: made.extend(run(iter([batch]))))
+    sources.surface_tokens(docs)
+    assert sum(b.num_rows for b in made) == 1500 * 6 and len(calls) < 10
+
+
 @pytest.mark.parametrize("query, want", [("normalized:casa", ["Casa", "casa", "casa"]), ("form:Casa", ["Casa"]), ('"casa sul mare"', ["casa sul mare"]), ("normalized:casa BEFORE/1 normalized:mare", ["casa sul mare"]), ("form:/^Casa$/", ["Casa"]), ('"casa mare"~1', ["casa sul mare"]), ("NOT casa", [])])
 def test_query(spark, query, want):
     d = spark.createDataFrame([(1, "Casa, casa sul mare. La casa guarda il mare.")], "doc_id long, text string")
